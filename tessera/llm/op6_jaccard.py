@@ -5,7 +5,7 @@ Equal sets collapse into one class, kept by its least doc_id. The global order o
 frequent shingles come last, so that prefixes hold rare ones; any order gives the same links. Classes with the same
 prefix and size form one group; groups that share a prefix shingle are compared by size and position, then expanded,
 and members' pairs are filtered by a parity bitmap whose difference never exceeds the sets' own. What is left is
-verified on whole sets: first a spanning forest of the survivors, then every survivor that still lies between two
+checked on bitmaps that grow with the sets, then verified on whole sets: first a spanning forest of the survivors, then every survivor that still lies between two
 components. So a cluster of n near copies costs about n verifications and not n squared, and no link between two
 components is lost. Posting lists over BLOCK classes are split into pairs of chunks, each a task's work of its own.
 
@@ -62,12 +62,27 @@ def frequent(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> np.ndar
     return np.sort(out.view(np.uint64))
 
 
+def wide_bits(n: int) -> int:
+    """Bits of the bitmap that grows with the set: a power of two, twice the set's size at least."""
+    return max(BITS, 1 << (2 * n - 1).bit_length()) if n else BITS
+
+
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Of each value of the hash modulo bits, whether it is taken by an odd number of shingles."""
+    return (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+
+
+def most_apart(n, percent: int):
+    """The largest symmetric difference of two linked sets of n shingles together."""
+    return n - 2 * -(-percent * n // (100 + percent))
+
+
 def _signatures(k: int, percent: int, heavy):
     def run(batches):
         often = heavy.value
         for batch in batches:
             for part in steps(batch):
-                ids, n, f1, f2, bits, pre = part.column("doc_id"), [], [], [], [], []
+                ids, n, f1, f2, bits, wide, pre = part.column("doc_id"), [], [], [], [], [], []
                 for s in shingle_sets(part.column("text"), k):
                     p = prefix_length(len(s), percent)
                     for most in (2 * p, len(s)):
@@ -85,17 +100,18 @@ def _signatures(k: int, percent: int, heavy):
                     raw = s.tobytes()
                     f1.append(xxhash.xxh3_64_intdigest(raw, 1))
                     f2.append(xxhash.xxh3_64_intdigest(raw, 2))
-                    odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
-                    bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                    odd = parity(s, wide_bits(len(s)))
+                    wide.append(np.packbits(odd).tobytes())
+                    bits.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, BITS), axis=0)).tobytes())
                     pre.append(chosen.view(np.int64))
                 gid = [xxhash.xxh3_64_intdigest(x.tobytes(), len(x) + m) for x, m in zip(pre, n, strict=True)]
                 u64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.record_batch([ids, pa.array(n, pa.int64()), u64(f1), u64(f2), u64(gid), pa.array(bits, pa.binary()), lists(pre, pa.int64())], ["doc_id", "n", "f1", "f2", "gid", "bits", "prefix"])
+                yield pa.record_batch([ids, pa.array(n, pa.int64()), u64(f1), u64(f2), u64(gid), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), lists(pre, pa.int64())], ["doc_id", "n", "f1", "f2", "gid", "bits", "wide", "prefix"])
 
     return run
 
 
-SIGNATURE = "doc_id long, n long, f1 long, f2 long, gid long, bits binary, prefix array<long>"
+SIGNATURE = "doc_id long, n long, f1 long, f2 long, gid long, bits binary, wide binary, prefix array<long>"
 
 
 def _between(g: np.ndarray, h: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +144,7 @@ def _candidates(block: dict, percent: int) -> tuple[np.ndarray, np.ndarray, np.n
             i = j
             keep = block["comp"][a] != block["comp"][b]
             a, b = a[keep], b[keep]
-            most = (n[a] + n[b]) - 2 * -(-percent * (n[a] + n[b]) // (100 + percent))
+            most = most_apart(n[a] + n[b], percent)
             diff = np.bitwise_count(block["bits"][a] ^ block["bits"][b]).sum(axis=1, dtype=np.int64)
             keep = diff <= most
             found.append((a[keep], b[keep], diff[keep]))
@@ -229,6 +245,22 @@ def _sets(k: int, wanted):
     return run
 
 
+def _plausible(percent: int):
+    """Pairs whose wide bitmaps, the wider folded onto the other, differ no more than linked sets may."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            most = most_apart(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), percent)
+            for x, y, m in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), most.tolist(), strict=True):
+                x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= m)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -271,16 +303,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     tokens = reps.select("doc_id", F.posexplode("prefix").alias("pos", "token"))
     sizes = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
     posts = scratch.keep(tokens.join(sizes, "token").select("token", "c", F.col("doc_id").alias("doc"), "pos"), "posts")
-    facts = scratch.keep(reps.join(posts.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "n", "gid", "bits"), "facts")
+    facts = scratch.keep(reps.join(posts.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "n", "gid", "bits", "wide"), "facts")
 
     def pairs(comp: DataFrame | None) -> DataFrame:
-        p = posts.join(facts, "doc")
+        p = posts.join(facts.drop("wide"), "doc")
         p = p.join(comp.select(F.col("node").alias("doc"), F.col("root").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if comp is not None else p.withColumn("comp", F.col("doc"))
         p = p.withColumn("chunks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc", "token"), F.col("chunks")).cast("int"))
         p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         p = p.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "n", "gid", "pos", "doc", "comp", "side", "bits")
         p = p.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "gid", "side")
-        return p.mapInArrow(_blocks(percent, comp is None), "a long, b long").distinct()
+        found = scratch.keep(p.mapInArrow(_blocks(percent, comp is None), "a long, b long").distinct(), "near" if comp is None else "near-rest")
+        of = lambda x: facts.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+        return found.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_plausible(percent), "a long, b long")
 
     first = scratch.keep(pairs(None), "forest")
     links = scratch.keep(verified(docs, first, k, percent), "links")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tessera.llm.op6_jaccard import op6_jaccard_join
+from tessera.llm.op9_packing import op9_best_fit_packing
 
 
 def queries() -> dict:
-    return {"op6_jaccard_join": op6_jaccard_join}
+    return {"op6_jaccard_join": op6_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
