@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,64 +47,77 @@ def default_tokenizer() -> str:
 
 
 #: Chunks whose ids a Python worker remembers.
-REMEMBERED = 300_000
-_WIDE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
+REMEMBERED = 800_000
+#: White space that is not ASCII.
+WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Pre-tokens of byte-level BPE, as its authors published them.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+ODD = r"[^\x00-\x{24f}]|<\|"
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in such vocabularies: itself where it prints, else the next from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_SIGNS = _byte_signs()
+SPACE_SIGN = chr(BYTE_SIGNS[32])
+#: Bytes that are ASCII letters (1) and ASCII signs (2): a pre-token always ends between the two in this order.
+SIGN_KINDS = np.array([1 if chr(b).isalpha() and b < 128 else 2 if 32 < b < 127 and not chr(b).isalnum() else 0 for b in range(256)], np.uint8)
 
 
 class Ids:
     """Token ids of whole texts, by way of chunks.
 
     The vocabulary's pre-tokens never reach from a character that is no white space over the white space behind it,
-    so the ids of a text are those of its chunks (white space, then what is none) one after another. Chunks repeat, so
-    each is encoded once. Texts with white space beyond ASCII are encoded whole.
+    nor from an ASCII letter over the sign behind it, so the ids of a text are those of its chunks between such places
+    one after another. Chunks repeat, so each is split into pre-tokens and encoded by the tokenizer's model once. Texts with white space beyond ASCII, and
+    chunks with letters beyond Latin ones or with the mark of an added token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        # a character of the vocabulary stands for a byte, but for those of added tokens
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)
-        for i, token in self.tokenizer.get_added_tokens_decoder().items():
-            self.width[i] = len(token.content.encode())
+        self.model = self.tokenizer.model
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of chunks by one call over all of them joined: bytes of ids tell where a chunk ends. A line feed, a
-        token of its own, stands before a chunk that has no white space in front; white space alone is encoded apart."""
-        blank = [x for x in chunks if x.isspace()]
-        alone = dict(zip(blank, self._encode(blank), strict=True))
-        rest = [x for x in chunks if x not in alone]
-        if not rest:
-            return [alone[x] for x in chunks]
-        bare = np.array([not x[0].isspace() for x in rest])
-        joined = "".join([f"\n{x}" if b else x for x, b in zip(rest, bare.tolist(), strict=True)])
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.uint32)
-        ends = np.cumsum(np.array([len(x.encode()) for x in rest]) + bare)
-        after = np.cumsum(self.width[ids])
-        cut = np.searchsorted(after, ends)
-        if len(ids) == 0 or (after[cut] != ends).any():
-            raise ValueError("the tokenizer's ids don't follow its chunks' bytes")
-        stop = (cut + 1).tolist()
-        start = np.concatenate([[0], cut[:-1] + 1]) + bare
-        solved = iter([ids[a:b] for a, b in zip(start.tolist(), stop, strict=True)])
-        return [alone[x] if x in alone else next(solved) for x in chunks]
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of new chunks."""
+        tokenize, flat, size = self.model.tokenize, [], []
+        odd = pc.match_substring_regex(pa.array(chunks, pa.string()), ODD).to_pylist()
+        for chunk, strange in zip(chunks, odd, strict=True):
+            core = chunk[1:] if chunk[0] == " " else chunk
+            if strange:
+                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            elif core.isalpha():
+                signs = chunk.replace(" ", SPACE_SIGN) if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_SIGNS)
+                ids = [t.id for t in tokenize(signs)]
+            else:
+                ids = [t.id for word in PRETOKEN.findall(chunk) for t in tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]
+            flat += ids
+            size.append(len(ids))
+        self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks)), strict=True))
+        size = np.array(size, np.int64)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
 
     def texts(self, column: pa.Array) -> list[np.ndarray]:
-        import pyarrow.compute as pc
-
         column = pa.concat_arrays([pc.fill_null(column, "")])
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(column)
-        wide = np.asarray(pc.match_substring_regex(column, f"[{_WIDE}]"))
+        wide = np.asarray(pc.match_substring_regex(column, f"[{WIDE}]"))
         if wide.any():
-            at = np.flatnonzero(wide)
-            for i, ids in zip(at, self._encode(column.filter(pa.array(wide)).to_pylist()), strict=True):
+            for i, ids in zip(np.flatnonzero(wide), self._encode(column.filter(pa.array(wide)).to_pylist()), strict=True):
                 out[i] = ids
         plain = np.flatnonzero(~wide)
         if not len(plain):
@@ -113,38 +128,43 @@ class Ids:
         raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[lo:hi]
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         start = np.zeros(hi - lo + 1, bool)
-        start[1 : hi - lo] = space[1:] & ~space[:-1]
+        kind = SIGN_KINDS[raw]
+        start[1 : hi - lo] = (space[1:] & ~space[:-1]) | ((kind[1:] == 2) & (kind[:-1] == 1))
         start[offsets - lo] = True
         cuts = np.flatnonzero(start)
-        chunks = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer((cuts + lo).astype(np.int32)), column.buffers()[2])
-        words = chunks.dictionary_encode()
-        names = words.dictionary.to_pylist()
-        known = self.known
-        fresh = [x for x in names if x not in known]
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
+        chunks = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer((cuts + lo).astype(np.int32)), column.buffers()[2]).dictionary_encode()
+        names = chunks.dictionary.to_pylist()
+        fresh = [x for x in names if x not in self.at]
+        if len(self.at) + len(fresh) > REMEMBERED:
+            self.forget()
             fresh = names
-        known.update(zip(fresh, self._chunks(fresh), strict=True))
-        parts = [known[x] for x in names]
-        size = np.array([len(x) for x in parts], np.int64)
-        first = np.cumsum(size) - size
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        which = np.asarray(words.indices)
-        count = size[which]
+        self._learn(fresh)
+        which = np.array([self.at[x] for x in names], np.int64)[np.asarray(chunks.indices)]
+        count = self.size[which]
         ends = np.cumsum(count)
-        ids = flat[np.repeat(first[which] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.flat[np.repeat(self.first[which] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.searchsorted(cuts, offsets - lo)]
         for i, a, b in zip(plain, bounds[:-1], bounds[1:], strict=True):
             out[i] = ids[a:b]
         return out
 
 
+_CODERS: dict[str, Ids] = {}
+
+
+def coder_of(path: str) -> Ids:
+    """One per worker process, so that the next task finds what it remembers."""
+    if path not in _CODERS:
+        _CODERS[path] = Ids(path)
+    return _CODERS[path]
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 
 
 def _pieces(path: str, most: int):
     def run(batches):
-        coder, part, seen = Ids(path), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
+        coder, part, seen = coder_of(path), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         for batch in batches:
             for step in steps(batch):
                 rows: list[tuple] = []
