@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from tessera.llm.op6_jaccard import op6_jaccard_join
-from tessera.llm.op9_packing import op9_best_fit_packing
+from tessera.llm import op1_decontaminate as op1
+from tessera.llm import op3_lines as op3
+from tessera.llm import op6_jaccard as op6
+from tessera.llm import op9_packing as op9
+from tessera.llm import op10_licenses as op10
 
 
 def queries() -> dict:
-    return {"op6_jaccard_join": op6_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing}
+    return {
+        "op1_benchmark_decontamination": op1.op1_benchmark_decontamination,
+        "op3_line_dedup": op3.op3_line_dedup,
+        "op6_jaccard_join": op6.op6_jaccard_join,
+        "op9_best_fit_packing": op9.op9_best_fit_packing,
+        "op10_license_scan": op10.op10_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_line_dedup": op3.ORACLE,
+        "op10_license_scan": op10.ORACLE,
+    }
