@@ -163,7 +163,7 @@ def _oracle() -> str:
             found.setdefault(k, []).append(_pattern(ids))
         holds = {k: f"regexp_matches({col}, {text('|'.join(v))})" for k, v in found.items()}
         parts = [f"CASE WHEN {' AND NOT '.join([holds[k], *(holds[o] for o in YIELDS.get(k, ()))])} THEN {text(k)} END" for k in sorted(holds)]
-        return f"coalesce(array_to_string(list_filter([{', '.join(parts)}], x -> x IS NOT NULL), ', '), '')"
+        return f"coalesce(array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ', '), '')"
 
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
