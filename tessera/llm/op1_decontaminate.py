@@ -36,6 +36,8 @@ Q, SHORT = 3, 6
 WALKS, KEYS, SAMPLED = 6, 4, 2
 #: Bits of the shingle filter; items in a block.
 FILTER_BITS, BLOCK_ITEMS = 1 << 24, 20_000
+#: Word edits of a leak, as a share of the item's words.
+EDITS = 0.2
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -243,23 +245,45 @@ def _scan(block):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2) -> DataFrame:
-    """Documents (doc_id, text) that hold benchmark items (item_id, text) within the edits."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def item_blocks(benchmark: DataFrame, edits: float):
+    """Broadcast blocks of the benchmark (item_id, text), each of BLOCK_ITEMS items or so."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n = items.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
-    scans = []
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     for i in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        block = spark.sparkContext.broadcast(Block([tuple(r) for r in own.collect()], edits))
-        scans.append(docs.mapInArrow(_scan(block), "doc_id long, item_id long, distance int, item_words int, start long"))
+        yield spark.sparkContext.broadcast(Block([tuple(r) for r in own.collect()], edits))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """Documents (doc_id, text) that hold benchmark items (item_id, text) within the edits."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scans = [docs.mapInArrow(_scan(b), "doc_id long, item_id long, distance int, item_words int, start long") for b in item_blocks(benchmark, edits)]
     out = scans[0]
     for x in scans[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _clean(block):
+    def run(batches):
+        b = block.value
+        for batch in batches:
+            for part in steps(batch):
+                ids, at = word_ids(part.column("text"))
+                keep = np.ones(part.num_rows, bool)
+                keep[[d for d, *_ in leaks(b, ids, at)]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """The documents, with all their columns, that hold no benchmark item; nothing is shuffled."""
+    for b in item_blocks(benchmark, edits):
+        docs = docs.mapInArrow(_clean(b), docs.schema)
+    return docs
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

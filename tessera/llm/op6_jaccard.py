@@ -331,5 +331,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     return linked.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """The documents, with all their columns, without those that have a lesser doc_id in their component; of rows that
+    repeat a doc_id one stays. Rows without a doc_id stay."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(jaccard_components(docs, k, percent), "components")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").head(1):
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -269,5 +269,22 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "n_lines")
 
 
+def _keep(model):
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            for part in steps(batch):
+                lines, at = lines_of(part.column("text"))
+                yield part.filter(pa.array(m.scores(m.shares(lines, at)) >= CUT))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that are predicted 1; nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return docs.mapInArrow(_keep(model), docs.schema)
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
