@@ -1,11 +1,318 @@
-"""The catalogue of named queries and the SQL that checks them."""
+"""The catalogue of named queries, each over whole tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import similarity
+from tessera.functions import text as T
+from tessera.operators import blocking, decide, entities, evaluate, features, models, scoring, tfidf, training
+from tessera.plans import linkage
+from tessera.plans import oracle as O
+from tessera.sources import sinks, synthetic
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def add(name: str, run: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
+
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    return entities.enrich(synthetic.entities(spark, d))
+
+
+def cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return entities.clean(synthetic.entities(spark, d))
+
+
+def truth_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(s1_id, true_ids) of every anchor, empty for singletons."""
+    links = synthetic.truth(spark, d).groupBy("s1_id").agg(F.sort_array(F.collect_set("cand_id")).alias("true_ids"))
+    empty = F.array().cast("array<string>")
+    return anchors(spark, d).join(links, "s1_id", "left").select("s1_id", F.coalesce("true_ids", empty).alias("true_ids"))
+
+
+def anchors(spark: SparkSession, d: str) -> DataFrame:
+    return synthetic.entities(spark, d).where("source = 'source1'").select(F.col("entity_id").alias("s1_id"))
+
+
+# Text
+
+TEXT_A = {
+    "clean_text": ("name", "addr", "country"),
+    "name_root": ("name_root",),
+    "sorted_root": ("sorted_root",),
+    "acronym": ("acronym",),
+    "name_words": ("first_word", "second_word"),
+    "key_prefixes": ("root_prefix_5", "root_prefix_4", "root_prefix_3", "root_prefix_2", "addr_core_prefix_4"),
+    "addr_std": ("addr_std",),
+    "addr_core": ("addr_core",),
+    "country_std": ("country_std",),
+    "street_digits": ("street_digits",),
+    "postal_code": ("postal_code",),
+    "unit_code": ("unit_code",),
+    "soundex_custom": ("soundex_first", "soundex_second"),
+    "consonant_stem": ("consonant_stem",),
+    "sorted_3gram": ("sorted_3gram",),
+}
+ALL_KEYS = tuple(dict.fromkeys(c for cols in TEXT_A.values() for c in cols))
+for _name, _cols in {**TEXT_A, "entity_keys": ALL_KEYS}.items():
+    add(_name, lambda s, d, c=_cols: enriched(s, d).select("id", *c), O.keys(*_cols))
+add(
+    "leet_clean",
+    lambda s, d: synthetic.entities(s, d).select(F.col("entity_id").alias("id"), T.leet(T.clean_text(F.col("business_name"))).alias("leet")),
+    f"{O.KEYS} SELECT id, {O.leet('name')} AS leet FROM k",
+)
+TEXT_B = {
+    "clean_name_b": ("clean_name", "clean_name_raw"),
+    "clean_address_b": ("clean_address",),
+    "clean_fields_b": ("clean_country", "clean_city", "clean_state", "clean_zip"),
+    "clean_phone": ("clean_phone",),
+    "all_digits": ("street_digits_str",),
+    "first_two_tokens": ("name_first_tokens",),
+    "full_address": ("clean_full_address",),
+}
+for _name, _cols in TEXT_B.items():
+    add(_name, lambda s, d, c=_cols: cleaned(s, d).select("id", *c), O.cleaned(*_cols))
+add("metaphone_key", lambda s, d: cleaned(s, d).select("id", "meta_key"))
+add("soundex_std", lambda s, d: cleaned(s, d).select("id", "soundex_key"))
+add(
+    "strip_accents_docs",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.strip_accents(F.col("text")).alias("plain")),
+    "SELECT doc_id, strip_accents(text) AS plain FROM documents",
+)
+add(
+    "clean_text_docs",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.clean_text(F.col("text")).alias("cleaned")),
+    f"SELECT doc_id, {O.clean('text')} AS cleaned FROM documents",
+)
+
+# Blocking
+
+for _p in blocking.PASSES:
+    add(f"block_{_p.name}", lambda s, d, p=_p: blocking.candidates_by_pass(enriched(s, d), [p]), O.block(_p))
+add("candidates_all", lambda s, d: blocking.candidates(enriched(s, d)), O.CANDIDATES)
+add("candidate_counts_by_pass", lambda s, d: blocking.candidates_by_pass(enriched(s, d)).groupBy("pass", "source").agg(F.count("*").alias("n")), O.PASS_COUNTS)
+add("candidate_pairs_tsv", lambda s, d: decide.candidate_lists(anchors(s, d), blocking.candidates(enriched(s, d))), O.CANDIDATE_LISTS)
+
+
+def _equal(rule: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pairs = blocking.equal_keys(cleaned(spark, d), [r for r in blocking.EXACT if r[0] == rule])
+        return pairs.select("s1_id", "candidate_id", F.round(F.col("tfidf_sim").cast("double"), 2).alias("sim"))
+
+    return run
+
+
+for _name in ("first_tokens", "digits_city", "phone"):
+    add(f"block_{_name}", _equal(_name), O.equal(_name))
+add("block_merge", lambda s, d: blocking.merge(blocking.equal_keys(cleaned(s, d))).select("s1_id", "candidate_id", F.round(F.col("tfidf_sim").cast("double"), 2).alias("sim")), O.MERGED)
+add("tfidf_weights", lambda s, d: tfidf.vectors(cleaned(s, d).select(F.concat("source", "id").alias("id"), F.col("clean_name").alias("text")), 2, 4).select("id", "gram", F.round("weight", 6).alias("weight")), O.weights(2, 4))
+
+
+def _topn(combo: bool) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c = cleaned(spark, d)
+        text = F.concat("clean_name", F.lit(" "), "clean_address") if combo else F.col("clean_name")
+        a, b = (c.where(w).select("id", text.alias("text")) for w in ("source = 'source1'", "source <> 'source1'"))
+        return tfidf.top_similar(a, b, 3, 4, 20, 0.18) if combo else tfidf.top_similar(a, b, 2, 4, 25, 0.25)
+
+    return run
+
+
+add("tfidf_topn_name", _topn(False))
+add("tfidf_topn_combo", _topn(True))
+add("candidates_b", lambda s, d: linkage.pairs_b(cleaned(s, d)))
+
+
+def _recall(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.recall(blocking.candidates(enriched(spark, d)).withColumnRenamed("cand_id", "candidate_id"), truth_lists(spark, d))
+
+
+add(
+    "blocking_recall",
+    _recall,
+    f"""{O.EVERY}, {O.TRUTH}, links AS (SELECT s1_id, unnest(true_ids) AS cand_id FROM t), h AS (SELECT l.s1_id, count(*) AS n, count(p.cand_id) AS hits FROM links l LEFT JOIN pairs p USING (s1_id, cand_id) GROUP BY l.s1_id)
+SELECT sum(hits)::DOUBLE / sum(n) AS candidate_match_recall, count(*) FILTER (WHERE hits = n)::DOUBLE / count(*) AS entity_perfect_recall_rate, (SELECT count(*) FROM pairs) AS total_candidates,
+(SELECT count(*) FROM pairs)::DOUBLE / (SELECT count(*) FROM t) AS avg_candidates_per_entity FROM h""",
+)
+
+# Features
+
+
+def attached(spark: SparkSession, d: str) -> DataFrame:
+    e = enriched(spark, d)
+    return features.attach(blocking.candidates(e), e)
+
+
+def _native(*names: str) -> Query:
+    return lambda s, d: features.with_native(attached(s, d)).select("s1_id", "source", "cand_id", *names)
+
+
+FLAGS = ("exact_name", "exact_root", "acronym_match", "soundex_match", "consonant_match", "same_digits", "diff_digits", "same_unit", "same_pin", "diff_pin", "same_country", "pin_and_digits", "strong_exact_pair", "root_contains", "exact_full_addr", "exact_root_and_pin", "exact_addr_core")
+for _name, _cols in {
+    "feat_exact_flags": FLAGS,
+    "feat_levenshtein": ("lev_root", "lev_addr", "core_addr_lev", "len_diff_ratio"),
+    "feat_door_numbers": ("digit_num_diff", "adjacent_door_penalty"),
+    "feat_token_jaccard": ("shared_tokens",),
+}.items():
+    add(_name, _native(*_cols), O.feature_query(*_cols))
+
+
+def _kernel(*names: str, round_to: int = 6) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        k = similarity.kernels(*(F.col(f"{s}_{c}") for c in ("name_root", "soundex_first", "addr_std", "addr_core") for s in "ab"))
+        return attached(spark, d).withColumn("k", k).select("s1_id", "source", "cand_id", *[F.round(f"k.{n}", round_to).alias(n) for n in names])
+
+    return run
+
+
+add("feat_jaro_winkler", _kernel("jw_root", "jw_addr"), O.feature_query("jw_root", "jw_addr"))
+add("feat_indel_ratio", _kernel("qratio_root"))
+add("feat_token_sort", _kernel("sort_root", "sort_addr", "core_addr_sort"))
+add("feat_token_set", _kernel("set_root", "set_addr", "core_addr_set"))
+add("feat_partial", _kernel("partial_root"))
+add("feat_vector40", lambda s, d: features.vector40(attached(s, d)))
+add("feat_b23", lambda s, d: features.features_b(blocking.merge(blocking.equal_keys(cleaned(s, d))), cleaned(s, d)))
+
+# Scores and decisions, on rule scores
+
+
+def _scored(fix=None) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        f = features.with_native(attached(spark, d)).withColumn("score", scoring.rule_score())
+        f = f.withColumn("score", fix(F.col("score"))) if fix else f
+        return f.select("s1_id", "source", "cand_id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _score_sql(expr: str) -> str:
+    more = f", r0 AS (SELECT *, {O.RULE} AS s FROM fs)"
+    return f"{O.features(*O.USED, more=more)} SELECT s1_id, source, cand_id, round({expr}, 6) AS score FROM r0"
+
+
+def boosted(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.joint_support(linkage.rule_scored(synthetic.entities(spark, d))).select("s1_id", "source", "cand_id", "score")
+
+
+add("rule_score", _scored(), _score_sql("s"))
+add("boost_exact_root", _scored(scoring.exact_root_floor), _score_sql(O.FLOORED))
+add("cap_adjacent_door", _scored(scoring.adjacent_door_cap), _score_sql(O.CAPPED))
+add("boost_transitivity", lambda s, d: boosted(s, d).withColumn("score", F.round("score", 6)), f"{O.SCORES} SELECT s1_id, source, cand_id, {O.R} FROM sc")
+BLENDED = ("exact_root", "lev_root", "lev_addr", "shared_tokens", "same_country")
+add(
+    "blend_weights",
+    lambda s, d: features.with_native(attached(s, d)).select("s1_id", "source", "cand_id", F.round(scoring.blend([F.col(x) for x in BLENDED]), 6).alias("score")),
+    f"{O.features(*BLENDED)} SELECT s1_id, source, cand_id, round({' + '.join(f'{n} * {w}::DOUBLE' for n, w in zip(BLENDED, scoring.BLEND, strict=True))}, 6) AS score FROM fs",
+)
+_out = lambda df: df.select("s1_id", "source", "cand_id", F.round("score", 6).alias("score"))
+_low = lambda s, d: boosted(s, d).where(F.col("score") >= O.LOW)
+add("inject_best_anchor", lambda s, d: _out(decide.best_anchor(_low(s, d))), f"{O._chosen(O.LOW)} SELECT s1_id, source, cand_id, {O.R} FROM b")
+add("relative_margin", lambda s, d: _out(decide.within_margin(decide.best_anchor(_low(s, d)))), f"{O._chosen(O.LOW)} SELECT s1_id, source, cand_id, {O.R} FROM m")
+add("topk_per_anchor", lambda s, d: _out(decide.select(boosted(s, d), O.LOW)), f"{O._chosen(O.LOW)} SELECT s1_id, source, cand_id, {O.R} FROM top")
+_lists = lambda cutoff: f"""{O._chosen(cutoff)} SELECT a.id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY top.source, score DESC, cand_id), '') AS matched_entity_ids
+FROM k a LEFT JOIN top ON top.s1_id = a.id WHERE a.source = 'source1' GROUP BY a.id"""
+add("match_results_tsv", lambda s, d: decide.match_lists(anchors(s, d), decide.select(boosted(s, d))), _lists(decide.CUTOFF))
+_probs = lambda s, d: boosted(s, d).select("s1_id", F.col("cand_id").alias("candidate_id"), F.col("score").alias("prob"))
+add("gate_threshold_b", lambda s, d: decide.gate(anchors(s, d), _probs(s, d)).select("s1_id", F.array_join("pred_ids", ",").alias("pred_ids")), O.gate())
+add("threshold_grid", lambda s, d: decide.grid_scores(truth_lists(s, d), _probs(s, d)).withColumn("macro_f05", F.round("macro_f05", 6)), O.grid())
+add("best_thresholds", lambda s, d: decide.best_thresholds(truth_lists(s, d), _probs(s, d)))
+add(
+    "submission_csv",
+    lambda s, d: sinks.submission(decide.gate(anchors(s, d), _probs(s, d))),
+    f"SELECT s1_id AS id, CASE WHEN pred_ids = '' THEN '[]' ELSE '[''' || replace(pred_ids, ',', ''', ''') || ''']' END AS matched_ids FROM ({O.gate()})",
+)
+
+# Training data, metrics, models
+
+add("hard_negatives", lambda s, d: training.hard_negatives(enriched(s, d), synthetic.truth(s, d)), f"{O.NEGATIVES} SELECT * FROM hard")
+add("training_pairs", lambda s, d: training.training_pairs(enriched(s, d), synthetic.truth(s, d)), f"{O.NEGATIVES} SELECT DISTINCT s1_id, cand_id, 1.0::DOUBLE AS label FROM t0 UNION ALL SELECT s1_id, cand_id, 0.0::DOUBLE FROM hard")
+add(
+    "label_pairs",
+    lambda s, d: training.label_pairs(blocking.candidates(enriched(s, d)), synthetic.truth(s, d)).select("s1_id", "cand_id", "label"),
+    f"{O.EVERY}, t0 AS ({synthetic.in_duckdb(synthetic.TRUTH)}) SELECT p.s1_id, p.cand_id, CASE WHEN t.cand_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label FROM pairs p LEFT JOIN (SELECT DISTINCT * FROM t0) t USING (s1_id, cand_id)",
+)
+add("group_folds", lambda s, d: anchors(s, d).select("s1_id", training.group_fold(F.col("s1_id"), 5).alias("fold")))
+
+
+def predicted(spark: SparkSession, d: str) -> DataFrame:
+    return decide.select(boosted(spark, d), O.LOW).groupBy("s1_id").agg(F.collect_list("cand_id").alias("pred_ids"))
+
+
+add("entity_f05", lambda s, d: evaluate.entity_scores(truth_lists(s, d), predicted(s, d)).select("s1_id", "n_true", "n_pred", "tp", F.round("f", 9).alias("f")), f"{O.PREDICTED} SELECT s1_id, n_true::INTEGER AS n_true, n_pred::INTEGER AS n_pred, tp::INTEGER AS tp, round(f, 9) AS f FROM es")
+_r9 = lambda df, *cols: df.select(*[F.round(c, 9).alias(c) if c in cols else c for c in df.columns])
+add(
+    "macro_f05",
+    lambda s, d: _r9(evaluate.macro(truth_lists(s, d), predicted(s, d)), "macro_f05", "singleton_accuracy", "match_macro_f05"),
+    f"{O.PREDICTED} SELECT round(avg(f), 9) AS macro_f05, round(coalesce(avg(f) FILTER (WHERE n_true = 0), 1.0), 9) AS singleton_accuracy, round(coalesce(avg(f) FILTER (WHERE n_true > 0), 0.0), 9) AS match_macro_f05, count(*) AS total_entities, count(*) FILTER (WHERE n_true = 0) AS total_singletons FROM es",
+)
+_prf = "CASE WHEN n_true = 0 THEN CASE WHEN n_pred = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN {0} > 0 THEN tp::DOUBLE / {0} ELSE 0.0::DOUBLE END"
+add(
+    "macro_prf",
+    lambda s, d: _r9(evaluate.macro_prf(truth_lists(s, d), predicted(s, d)), "macro_f05", "macro_precision", "macro_recall"),
+    f"{O.PREDICTED} SELECT round(avg(f), 9) AS macro_f05, round(avg({_prf.format('n_pred')}), 9) AS macro_precision, round(avg({_prf.format('n_true')}), 9) AS macro_recall, count(*) AS total_entities, count(*) FILTER (WHERE n_true = 0) AS total_singletons FROM es",
+)
+add(
+    "run_summary",
+    lambda s, d: evaluate.summary(anchors(s, d).join(predicted(s, d), "s1_id", "left").select("s1_id", F.coalesce("pred_ids", F.array().cast("array<string>")).alias("pred_ids"))),
+    f"{O.PREDICTED} SELECT count(*) AS anchors, count(*) FILTER (WHERE n_pred > 0) AS matched, count(*) FILTER (WHERE n_pred = 0) AS singletons, sum(n_pred)::BIGINT AS links, round(100.0 * count(*) FILTER (WHERE n_pred > 0) / count(*), 6) AS matched_pct, round(100.0 * count(*) FILTER (WHERE n_pred = 0) / count(*), 6) AS singleton_pct FROM es",
+)
+
+
+def pair_features_b(spark: SparkSession, d: str) -> DataFrame:
+    c = cleaned(spark, d)
+    return features.features_b(blocking.merge(blocking.equal_keys(c)), c)
+
+
+def _singleton_features(spark: SparkSession, d: str) -> DataFrame:
+    return models.singleton_features(anchors(spark, d), pair_features_b(spark, d))
+
+
+add("singleton_features", _singleton_features)
+add("singleton_scores", lambda s, d: models.singleton_scores(_singleton_features(s, d), truth_lists(s, d), folds=3, rounds=5))
+
+
+def labelled40(spark: SparkSession, d: str) -> DataFrame:
+    return training.label_pairs(features.vector40(attached(spark, d)), synthetic.truth(spark, d))
+
+
+#: The catalogue's models are shallow, so that its queries end in seconds; the operators' defaults are the full ones.
+DEPTH, ROUNDS = 4, 5
+
+
+def _ensemble(spark: SparkSession, d: str) -> DataFrame:
+    pairs = labelled40(spark, d).persist()
+    fitted = models.fit_ensemble(pairs, depth=DEPTH, rounds=ROUNDS)
+    return models.score_ensemble(fitted, pairs).select("s1_id", "source", "cand_id", "score")
+
+
+def labelled_b(spark: SparkSession, d: str) -> DataFrame:
+    pairs = pair_features_b(spark, d).withColumnRenamed("candidate_id", "cand_id")
+    return training.label_pairs(pairs, synthetic.truth(spark, d))
+
+
+FEATS = [f"feat_{x}" for x in "name_ratio name_token_set name_token_sort name_partial name_jw name_len_ratio first_token_match addr_ratio addr_token_set addr_jw name_metaphone_match name_soundex_match street_num_match name_exact city_exact state_exact country_exact country_mismatch zip_exact phone_exact phone_missing is_source2 blocking_tfidf_sim".split()]
+add("gbt_ensemble_scores", _ensemble)
+add("oof_scores_b", lambda s, d: models.cross_fit(labelled_b(s, d), FEATS, 3, depth=DEPTH, rounds=ROUNDS)[0].select("s1_id", "cand_id", "fold", "label", "prob"))
+add("feature_importance", lambda s, d: models.importance(models.cross_fit(labelled_b(s, d), FEATS, 3, depth=DEPTH, rounds=ROUNDS)[1], FEATS, s))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return _QUERIES["match_results_tsv"](spark, d)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
