@@ -98,11 +98,16 @@ def partial(a: str, b: str) -> float:
 
 
 def _slide(a: str, b: str) -> float:
-    m, masks, best = len(a), _masks(a), 0.0
-    for i in range(1 - m, len(b)):
+    """The best window of b for a. A window that ends in a character a hasn't (or, past b's end, begins with one) is no
+    better than the one beside it."""
+    m, n, masks, best = len(a), len(b), _masks(a), 0.0
+    for i in range(1 - m, n):
         w = b[max(0, i) : i + m]
-        if 2 * min(m, len(w)) / (m + len(w)) > best:
-            best = max(best, 2 * common(a, w, masks) / (m + len(w)))
+        if (w[-1] if i + m <= n else w[0]) not in masks:
+            continue
+        k = len(w)
+        if 2 * min(m, k) / (m + k) > best:
+            best = max(best, 2 * common(a, w, masks) / (m + k))
     return best
 
 

@@ -32,7 +32,7 @@ def truth_set(df: DataFrame) -> DataFrame:
     """(s1_id, true_ids) by position: a comma list; null, blank, [] and None are empty; ids are distinct."""
     id_, value = (F.col(f"`{c}`").cast("string") for c in df.columns[:2])
     v = F.trim(F.coalesce(value, F.lit("")))
-    ids = F.array_distinct(F.filter(F.transform(F.split(v, ","), F.trim), lambda x: x != ""))
+    ids = F.array_distinct(F.filter(F.transform(F.split(v, ","), lambda x: F.trim(x)), lambda x: x != ""))
     empty = F.array().cast("array<string>")
     return df.select(id_.alias("s1_id"), F.when(v.isin("", "[]", "None"), empty).otherwise(ids).alias("true_ids"))
 
