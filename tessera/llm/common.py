@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,10 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds as arrays.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
+BATCH_ROWS = 2000
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts may be long: where the session has Spark's default of rows in an Arrow batch, BATCH_ROWS are set, which
+    bounds what executors hold outside of their heaps."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +45,7 @@ class Scratch:
     """Tables written to the folder that driver and executors share, so that a lost executor costs no lineage."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             if not spark.sparkContext.master.startswith("local["):
@@ -51,6 +67,13 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle() -> None:
+    """Give freed memory back, so that a worker holds no more than its largest step while it waits."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `limit` bytes of text; a single longer text is a slice of its own."""
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
@@ -60,6 +83,7 @@ def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) ->
         end = max(start + 1, int(np.searchsorted(size, before + limit, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    settle()
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -41,7 +41,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _frequent_counts(k: int, percent: int):
     def run(batches):
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, limit=2 << 20):
                 sets = shingle_sets(part.column("text"), k)
                 tokens = [s[: prefix_length(len(s), percent)] for s in sets]
                 u, c = np.unique(np.concatenate(tokens) if tokens else np.zeros(0, np.uint64), return_counts=True)
@@ -81,7 +81,7 @@ def _signatures(k: int, percent: int, heavy):
     def run(batches):
         often = heavy.value
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, limit=2 << 20):
                 ids, n, f1, f2, bits, wide, pre = part.column("doc_id"), [], [], [], [], [], []
                 for s in shingle_sets(part.column("text"), k):
                     p = prefix_length(len(s), percent)
@@ -238,7 +238,7 @@ def _sets(k: int, wanted):
             h = batch.column("h").to_numpy()
             rows = np.flatnonzero((bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))
             if len(rows):
-                for part in steps(batch.take(pa.array(rows))):
+                for part in steps(batch.take(pa.array(rows)), limit=2 << 20):
                     sets = shingle_sets(part.column("text"), k)
                     yield pa.record_batch([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 

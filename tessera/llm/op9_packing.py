@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, steps, table
+from tessera.llm.common import Scratch, settle, steps, table
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def default_tokenizer() -> str:
 
 
 #: Chunks whose ids a Python worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: White space that is not ASCII.
 WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pre-tokens of byte-level BPE, as its authors published them.
@@ -156,6 +156,7 @@ def coder_of(path: str) -> Ids:
     """One per worker process, so that the next task finds what it remembers."""
     if path not in _CODERS:
         _CODERS[path] = Ids(path)
+        settle()
     return _CODERS[path]
 
 
