@@ -231,7 +231,7 @@ def _by_host(pages: DataFrame, facts: DataFrame, how: str) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
     scratch = Scratch(pages.sparkSession)
-    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     firsts = pages.mapInArrow(_first, "host string, h long, exemplar string")
     exemplars = scratch.keep(firsts.groupBy("host").agg(F.min(F.struct("h", "exemplar")).alias("x")).select("host", "x.exemplar"), "exemplars")
     counts = _by_host(pages.select("host", "html"), exemplars, "inner").mapInArrow(_agreements, "host string, leaf int, pages long, same long")
