@@ -102,8 +102,13 @@ EXACT = [
 MOST = 45
 
 
-def equal_keys(cleaned: DataFrame, rules=EXACT, anchor: str = "source1") -> DataFrame:
-    """(rule, s1_id, candidate_id, tfidf_sim) of records with equal keys; one join for all rules."""
+def equal_keys(cleaned: DataFrame, rules=EXACT, anchor: str = "source1", most: int | None = None) -> DataFrame:
+    """(rule, s1_id, candidate_id, tfidf_sim) of records with equal keys; one join for all rules.
+
+    most: only the first satellites of a key, by id. All pairs of a key have one similarity, so where merge() keeps the
+    `most` best of each anchor by similarity and id, no other satellite of the key can be among them: the cut changes
+    nothing there, and keeps a hot key's pairs in proportion to its anchors.
+    """
 
     def rows(df: DataFrame, id_: str) -> DataFrame:
         keys = []
@@ -116,6 +121,9 @@ def equal_keys(cleaned: DataFrame, rules=EXACT, anchor: str = "source1") -> Data
 
     a = rows(cleaned.where(F.col("source") == anchor), "s1_id")
     b = rows(cleaned.where(F.col("source") != anchor), "candidate_id").drop("tfidf_sim")
+    if most is not None:
+        first = Window.partitionBy("rule", "key").orderBy("candidate_id")
+        b = b.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).drop("n")
     return a.join(b, ["rule", "key"]).select("rule", "s1_id", "candidate_id", "tfidf_sim")
 
 

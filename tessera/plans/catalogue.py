@@ -114,7 +114,7 @@ def _equal(rule: str) -> Query:
 
 for _name in ("first_tokens", "digits_city", "phone"):
     add(f"block_{_name}", _equal(_name), O.equal(_name))
-add("block_merge", lambda s, d: blocking.merge(blocking.equal_keys(cleaned(s, d))).select("s1_id", "candidate_id", F.round(F.col("tfidf_sim").cast("double"), 2).alias("sim")), O.MERGED)
+add("block_merge", lambda s, d: blocking.merge(blocking.equal_keys(cleaned(s, d), most=blocking.MOST)).select("s1_id", "candidate_id", F.round(F.col("tfidf_sim").cast("double"), 2).alias("sim")), O.MERGED)
 add("tfidf_weights", lambda s, d: tfidf.vectors(cleaned(s, d).select(F.concat("source", "id").alias("id"), F.col("clean_name").alias("text")), 2, 4).select("id", "gram", F.round("weight", 6).alias("weight")), O.weights(2, 4))
 
 
@@ -181,7 +181,7 @@ add("feat_token_sort", _kernel("sort_root", "sort_addr", "core_addr_sort"))
 add("feat_token_set", _kernel("set_root", "set_addr", "core_addr_set"))
 add("feat_partial", _kernel("partial_root"))
 add("feat_vector40", lambda s, d: features.vector40(attached(s, d)))
-add("feat_b23", lambda s, d: features.features_b(blocking.merge(blocking.equal_keys(cleaned(s, d))), cleaned(s, d)))
+add("feat_b23", lambda s, d: features.features_b(blocking.merge(blocking.equal_keys(cleaned(s, d), most=blocking.MOST)), cleaned(s, d)))
 
 # Scores and decisions, on rule scores
 
@@ -270,7 +270,7 @@ add(
 
 def pair_features_b(spark: SparkSession, d: str) -> DataFrame:
     c = cleaned(spark, d)
-    return features.features_b(blocking.merge(blocking.equal_keys(c)), c)
+    return features.features_b(blocking.merge(blocking.equal_keys(c, most=blocking.MOST)), c)
 
 
 def _singleton_features(spark: SparkSession, d: str) -> DataFrame:

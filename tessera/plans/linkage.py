@@ -43,7 +43,7 @@ def pairs_b(cleaned: DataFrame, top: int = 35, least: float = 0.25) -> DataFrame
 
     by_name = tfidf.top_similar(*texts(F.col("clean_name")), 2, 4, min(top, 25), least)
     by_both = tfidf.top_similar(*texts(combo), 3, 4, 20, 0.18)
-    return blocking.merge(by_name, by_both, blocking.equal_keys(cleaned))
+    return blocking.merge(by_name, by_both, blocking.equal_keys(cleaned, most=blocking.MOST))
 
 
 def features_of(raw: DataFrame, top: int = 35, least: float = 0.25) -> DataFrame:

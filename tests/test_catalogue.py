@@ -1,4 +1,4 @@
-"""Every catalogue query at the oracle's scale against its SQL, value by value."""
+"""Every catalogue query at the smallest scale against its SQL, value by value."""
 
 import math
 
@@ -8,7 +8,7 @@ import pytest
 from tessera.plans import catalogue
 from tests.util import connect, rows
 
-D = "/root/testdata/sf0.01"
+D = "/root/testdata/sf0.001"
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
