@@ -2,7 +2,7 @@
 
 Vectors become integers floor(64 * x). Candidates are dealt by a hash of their id into blocks of bounded size, each
 with one sorted list a dimension. A query walks the lists from the end that its sign favours: the vectors in the
-first DEPTH places of every list are scored whole, which gives a k-th score; the sum over dimensions of the query's
+first places of every list are scored whole, which gives a k-th score; the sum over dimensions of the query's
 component times the list's value at a depth bounds every vector not seen by then; the walk goes on to the first depth
 where that bound falls below the k-th score, and ends there. Where no depth short of half the lists does, the lists
 are read out, for all such queries at once. Queries come in blocks too; every query block meets every candidate block
@@ -27,8 +27,9 @@ from tessera.llm.common import Scratch, table
 TOP, EVERY = 20, 20
 #: Rows of a candidate block and of a query block at most; candidate blocks at least (for spreading small tables).
 BLOCK, QUERIES, SPREAD = 16_384, 4_096, 24
-#: Places of every list that a walk begins with, and the depths at which it may end.
-DEPTH, LEVELS = 16, 64
+#: A walk begins with so many places of every list that they hold this share of the block at most, and may end at
+#: LEVELS depths.
+BEGIN, LEVELS = 1 / 8, 64
 ROW = "vec_id long, v array<long>"
 
 
@@ -61,7 +62,8 @@ class Lists:
         self.by_dim = np.argsort(self.v, axis=0, kind="stable").T  # dimension x place, rising
         self.values = np.take_along_axis(self.v, self.by_dim.T, axis=0).T
         n = len(ids)
-        self.depths = np.unique(np.minimum(n, np.geomspace(min(DEPTH, n), n, LEVELS).astype(np.int64))) if n else np.zeros(0, np.int64)
+        first = max(1, int(n * BEGIN) // max(1, v.shape[1]))
+        self.depths = np.unique(np.geomspace(first, max(n, first), LEVELS).astype(np.int64)) if n else np.zeros(0, np.int64)
 
     def scores(self, q: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
         """Exact inner products: in floats where every sum is below their precision, else in integers."""
@@ -82,9 +84,6 @@ class Lists:
         rest = []
         for i, q in enumerate(queries):
             out.append(None)
-            if n <= 4 * k or DEPTH * len(q) * 2 > n:
-                rest.append(i)
-                continue
             seen = self._seen(q, int(self.depths[0]))
             s = self.scores(q[None, :], seen)[:, 0]
             kth = self._kth(s, self.ids[seen], own[i], k)
