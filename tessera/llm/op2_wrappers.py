@@ -35,23 +35,25 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 SAYING = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
-    "subscription", "signup", "login", "paywall", "comment", "comments", "reply", "replies", "disqus", "respond", "discussion", "sidebar",
+    "subscription", "signup", "login", "paywall", "sidebar",
     "widget", "widgets", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toolbar", "masthead", "header", "footer", "related",
     "recommended", "recommendations", "share", "sharing", "social", "pagination", "pager", "search", "skip", "copyright",
 }
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+COMMENTS = {"comment", "comments", "reply", "replies", "disqus", "respond", "discussion"}
 MAIN = {"article", "body", "entry", "main", "post", "story", "content"}
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
 
-def says(node: Node) -> bool:
-    """Whether an element says that it is no part of the article."""
+def says(node: Node, whole: int) -> bool:
+    """Whether an element says that it is no part of the article. Names other than of comments count only on elements
+    that hold no more than half of the page's `whole` characters: what holds the article may be named after its place
+    beside a sidebar."""
     if node.tag in DROPPED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or node.attrs.get("role", "").lower() in ROLES:
         return True
-    if node.tag in ("html", "body", "main", "article") and not node.attrs:
+    if node.tag in ("html", "body", "main") or not node.attrs:
         return False
     names = {w.lower() for k in ("class", "id") for w in _WORD.findall(node.attrs.get(k, ""))}
-    return bool(names & SAYING) and node.tag not in ("html", "body", "main")
+    return bool(names & COMMENTS) or bool(names & SAYING) and 2 * text_size(node) <= whole
 
 
 def _titled(node: Node) -> list[Node]:
@@ -66,13 +68,13 @@ def _titled(node: Node) -> list[Node]:
     return out
 
 
-def main_node(root: Node) -> Node:
+def main_node(root: Node, whole: int) -> Node:
     """The element that holds the article: the largest article, else the main element, else the one that says so, else all."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
     todo = [root]
     while todo:
         x = todo.pop()
-        if x is not root and says(x):
+        if x is not root and says(x, whole):
             continue
         if x.tag == "article":
             found["article"].append(x)
@@ -91,7 +93,8 @@ def main_node(root: Node) -> Node:
 
 def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
     """Texts of the article in page order; template: ids of nodes that aren't content."""
-    top = main_node(root)
+    whole = text_size(root)
+    top = main_node(root, whole)
     inside = top.tag == "article" or top is not root
     out: list[str] = []
     todo = [top]
@@ -102,7 +105,7 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
         if not x.tag:
             if inside or x.linked * 2 <= len(x.text):
                 out.append(x.text)
-        elif x is not top and says(x):
+        elif x is not top and says(x, whole):
             if inside and (x.tag == "header" or "header" in x.attrs.get("class", "")):
                 todo += reversed(_titled(x))
         else:

@@ -27,6 +27,8 @@ CASES = [
     ("<div id='sidebar'>s</div><div class='post-content'><p>p1</p><ul><li>i<li>j</ul></div>", "p1\n\ni\n\nj"),
     ("<article><p>unclosed <b>bold<br><p>next", "unclosed bold\n\nnext"),
     ("<article class='comment'>c</article><article><p>real text</p></article>", "real text"),
+    ("<div class='page has-sidebar'><div class='post-body'><p>the long text of it all</p></div></div><div class='sidebar'>s</div>", "the long text of it all"),
+    ("<div class='entry'><p>short</p></div><div id='comments'><p>a much longer comment of some reader</p></div>", "short"),
     ("<article><p>" + "w " * 50000 + "</p></article>", ("w " * 50000).strip()),
 ]
 
