@@ -29,6 +29,8 @@ from tessera.llm.graph import components
 HEAVY, HEAVY_MOST = 32, 1 << 20
 #: Classes of one posting list that one task compares at once.
 BLOCK = 1024
+#: Ids that one_of_each() sends to all executors at most (16 MB); more are joined by a shuffle.
+SENT_IDS = 2_000_000
 #: Bits of the parity bitmap; bits of the filter of documents to verify.
 BITS, FILTER_BITS = 1024, 1 << 21
 
@@ -337,7 +339,10 @@ def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(jaccard_components(docs, k, percent), "components")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = scratch.keep(gone.withColumnRenamed("doc_id", "__gone"), "gone")
+    # texts needn't move while the ids that go are few enough to be sent to all executors
+    few = gone.count() <= SENT_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").head(1):
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept

@@ -48,3 +48,12 @@ def test_run_and_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(str(r.doc_id) for r in pipeline.run(spark, str(tmp_path)).collect()) == ["1", "2", "3", "None"]
+
+
+def test_both_ways_of_dropping_copies(spark, monkeypatch):
+    from tessera.llm import op6_jaccard
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    few = sorted(r.doc_id for r in op6_jaccard.one_of_each(docs).collect())
+    monkeypatch.setattr(op6_jaccard, "SENT_IDS", -1)
+    assert sorted(r.doc_id for r in op6_jaccard.one_of_each(docs).collect()) == few and len(few) < docs.count()
