@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import op1_decontaminate, op3_lines, op6_jaccard, op7_quality, op9_packing
 from tessera.llm.common import Scratch, table
 
+#: Words of a shingle and least similarity in percent that make near copies; op6's own query has a contract of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op7_quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op6_jaccard.one_of_each(docs)
+    return op6_jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

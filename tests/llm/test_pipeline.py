@@ -57,3 +57,11 @@ def test_both_ways_of_dropping_copies(spark, monkeypatch):
     few = sorted(r.doc_id for r in op6_jaccard.one_of_each(docs).collect())
     monkeypatch.setattr(op6_jaccard, "SENT_IDS", -1)
     assert sorted(r.doc_id for r in op6_jaccard.one_of_each(docs).collect()) == few and len(few) < docs.count()
+
+
+def test_near_copies_of_five_words_and_four_fifths(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    stay = lambda k, percent: [i for i, _, c in test_op6.brute(rows, k, percent) if i == c]
+    got = sorted(r.doc_id for r in pipeline.jaccard_join(spark, docs, D).collect())
+    assert got == stay(5, 80) and got != stay(3, 90)
