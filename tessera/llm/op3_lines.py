@@ -3,8 +3,9 @@
 Every line (between line feeds, trimmed of blanks; blank ones don't count) is known by two 64-bit hashes. HyperLogLog
 sketches of the sites that show a line merge by aggregation. Lines whose estimate lies within the sketch's error of
 the threshold get an exact distinct count; those clearly above are boilerplate, those clearly below are not. All
-occurrences of boilerplate lines go, unless they make up more than `share` of a document's characters: such a document
-is a copy as a whole, which is for near-duplicate stages to judge, and stays as it is.
+occurrences of boilerplate lines go. Only a text that several rows have, letter by letter, stays as it is where they make up
+more than `share` of its characters: its lines are spread because it is copied as a whole, and near-duplicate stages
+that keep one of the copies would find none left. (ORACLE also leaves such texts alone that only one row has.)
 
 Results: a row per document with its other columns, and its text without the boilerplate. Null and empty texts stay
 as they are; a null site counts as no site; repeated rows are treated alike; empty tables give none; every column of
@@ -20,7 +21,7 @@ from tessera.llm.common import Scratch, table
 
 #: Distinct sites that make a line boilerplate; log2 of a sketch's registers, whose error is 1.04 / sqrt(registers).
 SITES, REGISTERS = 10, 12
-#: A document of more boilerplate than this share of its characters is a copy.
+#: An exact copy of more boilerplate than this share of its characters is left to near-duplicate stages.
 SHARE = 0.5
 BLANK = " \t\r\x0b\x0c"
 
@@ -61,13 +62,14 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, share: float = SHARE, site:
     spread = scratch.keep(spread_lines(keyed, scratch, sites), "spread")
     # which lines go is a matter of the text alone, so that copies share one list
     hit = _lines(keyed).join(spread, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
-    hit = scratch.keep(hit, "hit").withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
+    copies = keyed.where("text is not null").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(True).alias("__copy"))
+    hit = scratch.keep(hit.join(copies, ["k1", "k2"], "left"), "hit").withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
     rows = docs.withColumns({"__k1": F.xxhash64(F.col("text").cast("string")), "__k2": F.xxhash64(F.lit(1), F.col("text").cast("string"))})
     rows = rows.join(hit, ["__k1", "__k2"], "left")
     split = F.split(F.col("text").cast("string"), "\n")
     kept = F.filter(split, lambda x: ~F.array_contains("__gone", F.struct(*_hashes(_trimmed(x)))))
     rows = rows.withColumn("__new", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")))
-    left = F.length("__new") >= F.length("text") * F.lit(1 - share)
+    left = F.col("__new").isNotNull() & (F.col("__copy").isNull() | (F.length("__new") >= F.length("text") * F.lit(1 - share)))
     return rows.select(*[F.when(left, F.col("__new")).otherwise(F.col("text").cast("string")).alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 

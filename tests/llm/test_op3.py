@@ -51,3 +51,11 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = sorted([(r.doc_id, r.text) for r in op.op3_line_dedup(spark, d).collect()], key=str)
     assert got == brute(rows, op.SITES) and got != sorted([(d, t) for d, t, _ in rows], key=str)
+
+
+def test_only_exact_copies_keep_spread_lines(spark):
+    menu, passage = "Menu | Home | Contact", "a passage of many words " * 20 + "that all sites show"
+    rows = [(i, f"{menu}\n{passage}\nown {i}", f"s{i}") for i in range(12)] + [(50, menu, "s1"), (51, f"{menu}\nshort", "s2")]
+    rows += [(60 + i, f"copied line one\ncopied line two\n{menu}", f"t{i}") for i in range(10)]
+    want = [(i, f"own {i}") for i in range(12)] + [(50, ""), (51, "short")] + [(i, t) for i, t, _ in rows if i >= 60]
+    assert run(spark, rows, 10) == sorted(want, key=str)
