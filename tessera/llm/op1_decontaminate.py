@@ -139,6 +139,8 @@ class Block:
         hits, doc = hits[keep], doc[keep]
         # a window that begins at s and holds `least` hits begins within reach before the last of them
         k = self.least - 1
+        if len(hits) <= k:
+            return none, none
         first, last = hits[: len(hits) - k], hits[k:]
         close = (last - first < self.reach) & (doc[: len(hits) - k] == doc[k:])
         lo = np.maximum(at[doc[k:]], last - self.reach + 1)[close]

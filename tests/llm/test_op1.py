@@ -106,3 +106,15 @@ def test_whole_table(spark):
         expected += brute([(n, t)], [(i, texts[i]) for i in near])
     got = sorted([(r.doc_id, r.item_id, r.distance) for r in op.op1_benchmark_decontamination(spark, d).collect()], key=str)
     assert got == sorted(expected, key=str) and got
+
+
+def test_fewer_hits_than_long_items_need(spark):
+    """Every item needs several shared shingles, and the whole batch has fewer."""
+    for n, shared in ((20, (1, 3, 4)), (40, (1, 9, 12, 19))):
+        item = [f"w{j}" for j in range(n)]
+        least = op.Block([(1, " ".join(item))], op.EDITS).least
+        for m in shared:
+            docs = [(1, "a b " + " ".join(item[: m + op.Q - 1]) + " c d")]
+            assert run(spark, docs, [(1, " ".join(item))]) == brute(docs, [(1, " ".join(item))]), (least, m)
+    docs = [(1, "x y " + " ".join(item) + " z")]
+    assert run(spark, docs, [(1, " ".join(item))]) == [(1, 1, 0)]
