@@ -4,8 +4,8 @@ A text is cut into sentences, twice: at line ends and sentence ends, and at sent
 texts that are wrapped). Normalised sentences (lower case, letters and digits, single blanks) are looked up as identifiers:
 whole known sentences, or a grant phrase ("licensed under the ...") with a known licence name behind it. The
 identifiers in text order form a sequence; a rule is an ordered list of identifiers that must occur in that order,
-others between them allowed. A rule may give way to a more specific one. Only texts that hold one of the ANCHORS, of
-which every known sentence has one, are cut at all. One projection does it: no shuffle, no join.
+others between them allowed. A rule may give way to a more specific one. Only texts that hold one of the OPENINGS, of
+which every known sentence and grant has one, are cut at all. One projection does it: no shuffle, no join.
 
 Results: a row per document: licenses (sorted names joined by ", "; empty if none) and sentence_ids (of the reading
 that found rules, joined by ","). Null and empty texts have none; repeated rows are treated alike; null ids are
@@ -93,6 +93,9 @@ SPDX = {k.lower().replace("-", " ").replace(".", " "): k for k in sorted(set(NAM
 ANCHORS = "licen[cs]e|rights reserved|permission|redistribut|warrant|public domain|free software"
 CUT, WRAPPED = r"[.!?;:]*[ \t\r]*\n|[.!?;:]+[ \t\r]+", r"[.!?;:]+[ \t\r\n]+|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*"
 
+#: Between words of a known sentence anything may stand that isn't a letter or digit.
+OPENINGS = "licen[cs]e|rights[^a-z0-9]+reserved|permission|redistribut|warrant|public[^a-z0-9]+domain|free[^a-z0-9]+software|(?:released|distributed|published|available|provided)[^a-z0-9]+under|version[^a-z0-9]+[0-9]"
+
 
 def _known() -> tuple[dict[str, str], dict[str, str]]:
     return SENTENCES, {k: f"name:{v}" for k, v in {**SPDX, **NAMES}.items()}
@@ -135,7 +138,7 @@ def _licenses(seq: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, sentence_ids) of documents (doc_id, text)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    some = F.lower("text").rlike(ANCHORS)
+    some = F.lower("text").rlike(OPENINGS)
     read = rows.select("doc_id", F.when(some, _sequence(CUT)).alias("s1"), F.when(some, _sequence(WRAPPED)).alias("s2"))
     both = read.select("doc_id", "s1", "s2", F.coalesce(_licenses(F.col("s1")), F.lit("")).alias("l1"), F.coalesce(_licenses(F.col("s2")), F.lit("")).alias("l2"))
     first = F.length("l1") >= F.length("l2")

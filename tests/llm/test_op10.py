@@ -63,3 +63,21 @@ def test_oracle(spark, sf):
     want = sorted(c.execute(op.ORACLE).fetchall())
     got = sorted(tuple(r) for r in op.op10_license_scan(spark, d).collect())
     assert got == want and any(x[1] for x in got)
+
+
+def licenses(spark, texts):
+    return {t: x for t, x in spark_rows(spark, texts)}
+
+
+def spark_rows(spark, texts):
+    out = op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [(texts[r.doc_id], r.licenses) for r in out]
+
+
+def test_every_grant_with_every_name(spark):
+    names = {**op.NAMES, **op.SPDX}
+    verbs = ["licensed", "released", "distributed", "published", "available", "made available", "provided"]
+    want = {f"This work is {v} under {n}.": k for v in verbs for n, k in names.items()}
+    want |= {"Published\nunder CC0 1.0.": "CC0-1.0", "This software is distributed under the terms of the GNU GPL v3.": "GPL-3.0"}
+    want |= {"This work is dedicated to the public\ndomain.": "Public-Domain", "All rights  reserved.": "All-Rights-Reserved", "This is free and unencumbered software released into the public\ndomain.": "Unlicense"}
+    assert licenses(spark, list(want)) == want
