@@ -4,8 +4,10 @@ A text is cut into sentences, twice: at line ends and sentence ends, and at sent
 texts that are wrapped). Normalised sentences (lower case, letters and digits, single blanks) are looked up as identifiers:
 whole known sentences, or a grant phrase ("licensed under the ...") with a known licence name behind it. The
 identifiers in text order form a sequence; a rule is an ordered list of identifiers that must occur in that order,
-others between them allowed. A rule may give way to a more specific one. Only texts that hold one of the OPENINGS, of
-which every known sentence and grant has one, are cut at all. One projection does it: no shuffle, no join.
+others between them allowed. A rule may give way to a more specific one. Sentences that official notices break by colons or
+semicolons are known by their pieces too, as the cut leaves them. Only texts that hold one of the OPENINGS, of which every
+known sentence and grant has one, are cut at all. One projection does it: no shuffle, no join. ORACLE knows less than the
+scan: the first SENTENCES, NAMES and RULES behind the filter ANCHORS, without pieces, headers and SPDX tags.
 
 Results: a row per document: licenses (sorted names joined by ", "; empty if none) and sentence_ids (of the reading
 that found rules, joined by ","). Null and empty texts have none; repeated rows are treated alike; null ids are
@@ -93,8 +95,43 @@ SPDX = {k.lower().replace("-", " ").replace(".", " "): k for k in sorted(set(NAM
 ANCHORS = "licen[cs]e|rights reserved|permission|redistribut|warrant|public domain|free software"
 CUT, WRAPPED = r"[.!?;:]*[ \t\r]*\n|[.!?;:]+[ \t\r]+", r"[.!?;:]+[ \t\r\n]+|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*"
 
+#: What the scan knows beyond that: pieces of the GNU notices, the Apache header, SPDX tags.
+GNU = {
+    "GPL-2.0": ("gnu general public license", "2"),
+    "GPL-3.0": ("gnu general public license", "3"),
+    "LGPL-2.1": ("gnu lesser general public license", "2 1"),
+    "LGPL-3.0": ("gnu lesser general public license", "3"),
+    "AGPL-3.0": ("gnu affero general public license", "3"),
+}
+MORE_NAMES = {"apache license version 2 0 the license": "Apache-2.0", **{f"{k.lower().replace('-', ' ').replace('.', ' ')} {x}": k for k in GNU for x in ("only", "or later")}}
+MORE_SENTENCES = {
+    "http www apache org licenses license 2 0": "apache-url",
+    "https www apache org licenses license 2 0": "apache-url",
+    "but without any warranty": "gpl-no-warranty",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-no-warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-no-fitness",
+}
+MORE_RULES = [("Apache-2.0", ("apache-comply", "apache-copy", "apache-url")), ("MIT", ("mit-title", "mit-warranty"))]
+for _license, (_name, _version) in GNU.items():
+    _terms = f"you can redistribute it and or modify it under the terms of the {_name} as published by the free software foundation"
+    _either = f"either version {_version} of the license or at your option any later version"
+    _kind, _short = _name.split()[1], _license.lower()
+    for _what in ("program", "library", "software", "file"):
+        _free = f"this {_what} is free software"
+        MORE_SENTENCES |= {_free: "gnu-free", f"{_free} {_terms}": f"{_kind}-free-terms"}
+        MORE_SENTENCES |= {f"{_free} {_terms} {_either}": f"{_short}-grant"} if f"{_free} {_terms} {_either}" not in SENTENCES else {}
+    MORE_SENTENCES |= {_terms: f"{_kind}-terms", _either: f"gnu-either-{_version.replace(' ', '.')}", f"{_terms} {_either}": f"{_short}-terms-either"}
+    MORE_RULES += [
+        (_license, (f"{_short}-grant",)),
+        (_license, ("gnu-free", f"{_short}-terms-either")),
+        (_license, ("gnu-free", f"{_kind}-terms", f"gnu-either-{_version.replace(' ', '.')}")),
+        (_license, (f"{_kind}-free-terms", f"gnu-either-{_version.replace(' ', '.')}")),
+    ]
 #: Between words of a known sentence anything may stand that isn't a letter or digit.
 OPENINGS = "licen[cs]e|rights[^a-z0-9]+reserved|permission|redistribut|warrant|public[^a-z0-9]+domain|free[^a-z0-9]+software|(?:released|distributed|published|available|provided)[^a-z0-9]+under|version[^a-z0-9]+[0-9]"
+#: A tag's name stays with its value.
+TAGGED = "(?<!spdx-license-identifier)"
+ENDS = tuple("|".join(TAGGED + x for x in c.split("|")) for c in (CUT, WRAPPED))
 
 
 def _known() -> tuple[dict[str, str], dict[str, str]]:
@@ -111,7 +148,7 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def _sequence(cut: str) -> Column:
-    sentences, names = (_map(x) for x in _known())
+    sentences, names = (_map({**x, **more}) for x, more in zip(_known(), (MORE_SENTENCES, {k: f"name:{v}" for k, v in MORE_NAMES.items()}), strict=True))
 
     def name(s: Column) -> Column:
         plain = F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
@@ -123,7 +160,7 @@ def _sequence(cut: str) -> Column:
 
 def _licenses(seq: Column) -> Column:
     found: dict[str, list[str]] = {}
-    for license_, ids in RULES:
+    for license_, ids in RULES + MORE_RULES:
         found.setdefault(license_, []).append(_pattern(ids))
     holds = {k: seq.rlike("|".join(v)) for k, v in found.items()}
     cases = []
@@ -139,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, sentence_ids) of documents (doc_id, text)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     some = F.lower("text").rlike(OPENINGS)
-    read = rows.select("doc_id", F.when(some, _sequence(CUT)).alias("s1"), F.when(some, _sequence(WRAPPED)).alias("s2"))
+    read = rows.select("doc_id", F.when(some, _sequence(ENDS[0])).alias("s1"), F.when(some, _sequence(ENDS[1])).alias("s2"))
     both = read.select("doc_id", "s1", "s2", F.coalesce(_licenses(F.col("s1")), F.lit("")).alias("l1"), F.coalesce(_licenses(F.col("s2")), F.lit("")).alias("l2"))
     first = F.length("l1") >= F.length("l2")
     ids = F.regexp_replace(F.coalesce(F.when(first, F.col("s1")).otherwise(F.col("s2")), F.lit("")), "^,+|,+$", "")

@@ -81,3 +81,35 @@ def test_every_grant_with_every_name(spark):
     want |= {"Published\nunder CC0 1.0.": "CC0-1.0", "This software is distributed under the terms of the GNU GPL v3.": "GPL-3.0"}
     want |= {"This work is dedicated to the public\ndomain.": "Public-Domain", "All rights  reserved.": "All-Rights-Reserved", "This is free and unencumbered software released into the public\ndomain.": "Unlicense"}
     assert licenses(spark, list(want)) == want
+
+
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Copyright 2020 A. Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+"""
+
+
+def test_official_notices(spark):
+    want = {GPL.format(a, b, v): f"GPL-{v}.0" for a in ";:," for b in ";:," for v in "23"}
+    lesser = GPL.replace("This program is free", "This library is free").replace("GNU General", "GNU Lesser General")
+    want |= {lesser.format(";", ";", "2.1"): "LGPL-2.1", GPL.replace("GNU General", "GNU Affero General").format(":", ",", "3"): "AGPL-3.0"}
+    want |= {APACHE: "Apache-2.0", "\n".join("# " + x for x in APACHE.split("\n")): "Apache-2.0", APACHE.replace('(the "License")', ""): "Apache-2.0"}
+    want |= {f"{c}SPDX-License-Identifier: {k}\ncode": k for c in ("", "// ", "# ") for k in op.SPDX.values()}
+    want |= {"SPDX-License-Identifier: GPL-2.0-or-later\n": "GPL-2.0", "Note: licensed under MIT; see there.": "MIT"}
+    assert licenses(spark, list(want)) == want
