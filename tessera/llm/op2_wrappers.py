@@ -12,13 +12,15 @@ else by a shuffle whose large hosts adaptive execution splits.
 
 Results: a row per page: page_id, url, text, n_chars. Null and empty pages have an empty text; a null or odd url makes
 a host of its own name; repeated rows give repeated results; no pages give none; further columns are ignored. Hosts of
-fewer than LEAST pages have no template. Lists of more than MATCH child pairs are aligned from both ends only.
+fewer than LEAST pages have no template. Matching is exact
+for lists of any length; those of more than MATCH child pairs take linear memory.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -123,23 +125,81 @@ def leaves(root: Node) -> list[Node]:
     return out
 
 
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Size of the best ordered matching of two trees of equal labels, and the texts it pairs."""
-    if not a.tag:
-        return 1, [(a, b)]
-    x, y = a.children, b.children
+#: Weight of a paired node beside that of a paired equal text.
+NODE = 1 << 32
+
+
+def _shape(node: Node, known: dict[int, tuple]) -> tuple[int, int, list[Node]]:
+    """Hash of a tree's labels, its nodes, and its texts."""
+    if id(node) not in known:
+        parts = [_shape(c, known) for c in node.children]
+        texts = [t for x in parts for t in x[2]] if node.tag else [node]
+        known[id(node)] = hash((node.label, *(x[0] for x in parts))), 1 + sum(x[1] for x in parts), texts
+    return known[id(node)]
+
+
+def _align(a: Node, b: Node, ka: dict, kb: dict) -> tuple[int, list[tuple[Node, Node]]]:
+    """The best ordered matching of two trees of equal labels: most nodes, then most equal texts."""
+    (sa, size, ta), (sb, _, tb) = _shape(a, ka), _shape(b, kb)
+    if sa == sb:  # all nodes pair in one way only
+        pairs = list(zip(ta, tb, strict=True))
+        return size * NODE + sum(p.text == q.text for p, q in pairs), pairs
+    total, pairs = _lists(a.children, b.children, ka, kb)
+    return NODE + total, pairs
+
+
+def _same(p: Node, q: Node, ka: dict, kb: dict) -> bool:
+    x, y = _shape(p, ka), _shape(q, kb)
+    return x[0] == y[0] and all(t.text == u.text for t, u in zip(x[2], y[2], strict=True))
+
+
+def _lists(x: list[Node], y: list[Node], ka: dict, kb: dict) -> tuple[int, list[tuple[Node, Node]]]:
+    """The best ordered matching of two lists. Equal ends are in one of the best; long rests are halved (Hirschberg 1975)."""
+    total, head, tail = 0, [], []
+    i, j = 0, 0
+    while i < min(len(x), len(y)) and _same(x[i], y[i], ka, kb):
+        s, p = _align(x[i], y[i], ka, kb)
+        total, i = total + s, i + 1
+        head += p
+    while j < min(len(x), len(y)) - i and _same(x[-1 - j], y[-1 - j], ka, kb):
+        s, p = _align(x[-1 - j], y[-1 - j], ka, kb)
+        total, j = total + s, j + 1
+        tail += p
+    x, y = x[i : len(x) - j], y[i : len(y) - j]
+    if len(x) * len(y) > MATCH and len(x) > 1:
+        half = len(x) // 2
+        front, back = _row(x[:half], y, ka, kb), _row(x[:half - 1 : -1], y[::-1], ka, kb)
+        at = int(np.argmax(front + back[::-1]))
+        rest = [_lists(x[:half], y[:at], ka, kb), _lists(x[half:], y[at:], ka, kb)]
+    else:
+        rest = [_table(x, y, ka, kb)]
+    return total + sum(s for s, _ in rest), head + [p for _, r in rest for p in r] + tail
+
+
+def _row(x: list[Node], y: list[Node], ka: dict, kb: dict) -> np.ndarray:
+    """Weights of the best matchings of the whole of x with every beginning of y."""
+    row = np.zeros(len(y) + 1, np.int64)
+    labels, kinds = {}, {}
+    for j, q in enumerate(y):
+        labels.setdefault(q.label, []).append(j)
+        kinds.setdefault(_shape(q, kb)[0], []).append(j)
+    texts = {k: (np.array(js), np.array([[hash(t.text) for t in _shape(y[j], kb)[2]] for j in js], np.int64)) for k, js in kinds.items()}
+    for p in x:
+        w = np.zeros(len(y), np.int64)
+        shape, size, own = _shape(p, ka)
+        if shape in texts:
+            js, t = texts[shape]
+            w[js] = size * NODE + (t == np.array([hash(u.text) for u in own], np.int64)).sum(axis=1)
+        for j in labels.get(p.label, ()):
+            if not w[j]:
+                w[j] = _align(p, y[j], ka, kb)[0]
+        row[1:] = np.maximum(row[1:], row[:-1] + w)
+        row = np.maximum.accumulate(row)
+    return row
+
+
+def _table(x: list[Node], y: list[Node], ka: dict, kb: dict) -> tuple[int, list[tuple[Node, Node]]]:
     pairs: list[tuple[Node, Node]] = []
-    total, i = 1, 0
-    if len(x) * len(y) > MATCH:
-        n = min(len(x), len(y))
-        while i < n and x[i].label == y[i].label:
-            s, p = match(x[i], y[i])
-            total, pairs, i = total + s, pairs + p, i + 1
-        j = 0
-        while j < n - i and x[-1 - j].label == y[-1 - j].label:
-            s, p = match(x[-1 - j], y[-1 - j])
-            total, pairs, j = total + s, pairs + p, j + 1
-        return total, pairs
     lx, ly = [c.label for c in x], [c.label for c in y]
     got = {}
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -148,7 +208,7 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
         for j, q in enumerate(y, 1):
             v = above[j] if above[j] >= row[j - 1] else row[j - 1]
             if lx[i - 1] == ly[j - 1]:
-                got[i, j] = match(p, q)
+                got[i, j] = _align(p, q, ka, kb)
                 if above[j - 1] + got[i, j][0] > v:
                     v = above[j - 1] + got[i, j][0]
             row[j] = v
@@ -161,7 +221,14 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
             i -= 1
         else:
             j -= 1
-    return total + best[len(x)][len(y)], pairs
+    return best[len(x)][len(y)], pairs
+
+
+def match(a: Node, b: Node, known: dict | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size of the best ordered matching of two trees of equal labels, and the texts it pairs, equal ones where it can;
+    known: shapes of a's nodes."""
+    total, pairs = _align(a, b, {} if known is None else known, {})
+    return total // NODE, pairs
 
 
 class Exemplars:

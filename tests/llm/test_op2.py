@@ -86,3 +86,30 @@ def test_whole_table(spark):
             lines = [" ".join(x.split()) for x in docs[int(m[1])].split("\n") if x.strip()]
             right.append(r.text.split("\n\n", 1)[-1] == "\n\n".join(lines))
     assert len(right) > 1000 and sum(right) >= 0.99 * len(right)
+
+
+def test_long_lists_are_matched_like_short_ones(monkeypatch):
+    import random
+
+    r = random.Random(3)
+
+    def tree(depth):
+        return f"<div class='{r.choice('ab')}'>" + "".join(tree(depth - 1) for _ in range(r.randrange(6))) + "</div>" if depth else f"<p>{r.choice('xyz')}</p>"
+
+    equal = lambda found: (found[0], sum(a.text == b.text for a, b in found[1]))
+    for _ in range(60):
+        a, b = parse(tree(3)), parse(tree(3))
+        monkeypatch.setattr(op, "MATCH", 1 << 30)
+        short = equal(op.match(a, b))
+        monkeypatch.setattr(op, "MATCH", 0)
+        assert equal(op.match(a, b)) == short
+
+
+def test_constant_text_within_long_pages(spark):
+    rows = []
+    for i in range(8):
+        own = [f"page {i} says {j}" for j in range(403 + i % 3)]
+        own.insert(200 + i % 3, "Subscribe to our letter")
+        rows.append((i, f"http://long.org/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>"))
+    got, _ = run(spark, rows)
+    assert all("Subscribe" not in got[i] and got[i].count("says") == 403 + i % 3 for i in range(8))
