@@ -1,8 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from few templates. For each host one page is the exemplar (least hash of its id and address);
-every other page's block tree is aligned with the exemplar's by simple tree matching (Yang 1991: equal labels, then
-the best ordered matching of children). Where aligned texts agree on most of the host's pages, the node is template;
+Pages of one host come from few templates, told apart by a page's set of label paths. Each host has up to EXEMPLARS pages
+as exemplars: of the path sets that cover most (pages times paths) the page of least hash of its id and address; pages
+without text are none. Every page's block tree is aligned with the first exemplar's and with that of the nearest path
+set by simple tree matching (Yang 1991: equal labels, then the best ordered matching of children). Where aligned texts
+agree on most of the pages, the node is template, unless nothing but such nodes is in a further exemplar (its pages are
+copies);
 where they vary, it is a slot. Agreements are counted over all pages of a host and summed across partitions, so a
 host of any size is never gathered. A page's text is what its article holds outside of template nodes and of elements
 that say what they are (menus, headers, footers, asides, notices, adverts, forms, comments).
@@ -23,7 +26,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, steps, table
@@ -31,6 +34,8 @@ from tessera.llm.html import Node, parse, text_size
 
 #: Pages a node must be seen on, and the share of them that agree on its text, to be template.
 LEAST, AGREE = 5, 0.8
+#: Exemplars of a host, and path sets of a host that a task remembers.
+EXEMPLARS, REMEMBERED = 4, 16
 MATCH, BROADCAST_BYTES = 40_000, 16 << 20
 DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "datalist", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
@@ -231,45 +236,85 @@ def match(a: Node, b: Node, known: dict | None = None) -> tuple[int, list[tuple[
     return total // NODE, pairs
 
 
+def paths(root: Node) -> frozenset[int]:
+    """Hashes of the label paths of a tree."""
+    out, todo = set(), [(root, 0)]
+    while todo:
+        x, above = todo.pop()
+        h = xxhash.xxh3_64_intdigest(f"{above} {x.label}")
+        out.add(h)
+        todo += [(c, h) for c in x.children]
+    return frozenset(out)
+
+
 class Exemplars:
-    """Parsed exemplars of the hosts that a worker has met, with the places of their texts."""
+    """Parsed exemplars of the hosts that a worker has met, with the places of their texts, paths and shapes."""
 
     def __init__(self, most: int = 2000):
         self.most, self.known = most, {}
 
-    def of(self, page: str) -> tuple[Node, dict[int, int]]:
+    def of(self, page: str) -> tuple[Node, dict[int, int], frozenset[int], dict]:
         if page not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
             root = parse(page)
-            self.known[page] = root, {id(x): i for i, x in enumerate(leaves(root))}
+            self.known[page] = root, {id(x): i for i, x in enumerate(leaves(root))}, paths(root), {}
         return self.known[page]
 
+    def to_align(self, page: Node, exemplars: list[str]) -> list[int]:
+        """The first exemplar and the one of the nearest path set."""
+        if len(exemplars) == 1:
+            return [0]
+        own = paths(page)
+        near = [len(own & x) / len(own | x) for x in (self.of(e)[2] for e in exemplars)]
+        return sorted({0, near.index(max(near))})
 
-def _first(batches):
-    """The partition's page of least hash for each host."""
-    best: dict[str, tuple[int, str]] = {}
+
+def _shapes(batches):
+    """By host and path set: pages that have it, its paths, and the page of least hash."""
+    found: dict[str, dict[int, list]] = {}
+    weight = lambda x: (-x[0] * x[1], x[2], x[3])
     for batch in batches:
-        for host, url, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "url", "page_id", "html")), strict=True):
-            h = xxhash.xxh3_64_intdigest(f"{page} {url}") >> 1
-            if host not in best or (h, html) < best[host]:
-                best[host] = h, html
-    yield pa.record_batch([pa.array(list(best), pa.string()), pa.array([h for h, _ in best.values()], pa.int64()), pa.array([x for _, x in best.values()], pa.string())], ["host", "h", "exemplar"])
+        for part in steps(batch, "html"):
+            for host, url, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "url", "page_id", "html")), strict=True):
+                root = parse(html)
+                if not text_size(root):
+                    continue
+                h, own = xxhash.xxh3_64_intdigest(f"{page} {url}") >> 1, paths(root)
+                of = found.setdefault(host, {})
+                sign = xxhash.xxh3_64_intdigest(np.sort(np.fromiter(own, np.uint64, len(own))).tobytes()) >> 1
+                if sign not in of:
+                    if len(of) >= 2 * REMEMBERED:
+                        found[host] = of = dict(sorted(of.items(), key=lambda kv: weight(kv[1]))[:REMEMBERED])
+                    of[sign] = [1, len(own), h, html]
+                else:
+                    x = of[sign]
+                    x[0] += 1
+                    x[2], x[3] = min((x[2], x[3]), (h, html))
+    for host, of in found.items():
+        rows = sorted(((*x, k) for k, x in of.items()), key=weight)[:REMEMBERED]
+        n, size, h, html, sign = zip(*rows, strict=True)
+        cols = [pa.array([host] * len(rows), pa.string()), pa.array(sign, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(h, pa.int64()), pa.array(html, pa.string())]
+        yield pa.record_batch(cols, ["host", "sign", "n", "size", "h", "exemplar"])
 
 
 def _agreements(batches):
-    """By host and text of its exemplar: pages that have it aligned, and pages that agree on it."""
-    seen: dict[tuple[str, int], list[int]] = {}
+    """By host, exemplar and its text: pages that have it aligned, and pages that agree on it."""
+    seen: dict[tuple[str, int, int], list[int]] = {}
     known = Exemplars()
     for batch in batches:
-        for host, html, exemplar in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "exemplar")), strict=True):
-            root, place = known.of(exemplar)
-            for a, b in match(root, parse(html))[1]:
-                n = seen.setdefault((host, place[id(a)]), [0, 0])
-                n[0] += 1
-                n[1] += a.text == b.text
-    cols = [[h for h, _ in seen], [p for _, p in seen], [n for n, _ in seen.values()], [n for _, n in seen.values()]]
-    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host", "leaf", "pages", "same"])
+        for part in steps(batch, "html"):
+            for host, html, exemplars in zip(*(part.column(c).to_pylist() for c in ("host", "html", "exemplars")), strict=True):
+                page = parse(html)
+                for e in known.to_align(page, exemplars):
+                    root, place, _, shapes = known.of(exemplars[e])
+                    for a, b in match(root, page, shapes)[1]:
+                        n = seen.setdefault((host, e, place[id(a)]), [0, 0])
+                        n[0] += 1
+                        n[1] += a.text == b.text
+    cols = [[k[0] for k in seen], [k[1] for k in seen], [k[2] for k in seen], [n for n, _ in seen.values()], [n for _, n in seen.values()]]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "e", "leaf", "pages", "same"])
 
 
 def _extract(batches):
@@ -277,13 +322,16 @@ def _extract(batches):
     for batch in batches:
         for part in steps(batch, "html"):
             texts = []
-            for html, exemplar, constant in zip(*(part.column(c).to_pylist() for c in ("html", "exemplar", "constant")), strict=True):
+            for html, exemplars, constant in zip(*(part.column(c).to_pylist() for c in ("html", "exemplars", "constant")), strict=True):
                 page = parse(html or "")
                 template: set[int] = set()
-                if constant:
-                    root, place = known.of(exemplar)
-                    gone = set(constant)
-                    template = {id(b) for a, b in match(root, page)[1] if place[id(a)] in gone and a.text == b.text}
+                gone: dict[int, set[int]] = {}
+                for x in constant or ():
+                    gone.setdefault(x["e"], set()).add(x["leaf"])
+                for e in known.to_align(page, exemplars) if gone else ():
+                    if e in gone:
+                        root, place, _, shapes = known.of(exemplars[e])
+                        template |= {id(b) for a, b in match(root, page, shapes)[1] if place[id(a)] in gone[e] and a.text == b.text}
                 texts.append("\n\n".join(blocks(page, template)))
             yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -294,7 +342,7 @@ def host_of(url):
 
 def _by_host(pages: DataFrame, facts: DataFrame, how: str) -> DataFrame:
     """Pages with their host's facts; facts are sent to all executors only if they are small."""
-    small = facts.agg(F.coalesce(F.sum(F.length("exemplar")), F.lit(0))).first()[0] * 4 <= BROADCAST_BYTES
+    small = facts.agg(F.coalesce(F.sum(F.length(F.array_join("exemplars", ""))), F.lit(0))).first()[0] * 4 <= BROADCAST_BYTES
     return pages.join(F.broadcast(facts) if small else facts.hint("merge"), "host", how)
 
 
@@ -302,13 +350,18 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
     scratch = Scratch(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    firsts = pages.mapInArrow(_first, "host string, h long, exemplar string")
-    exemplars = scratch.keep(firsts.groupBy("host").agg(F.min(F.struct("h", "exemplar")).alias("x")).select("host", "x.exemplar"), "exemplars")
-    counts = _by_host(pages.select("host", "html"), exemplars, "inner").mapInArrow(_agreements, "host string, leaf int, pages long, same long")
-    sums = counts.groupBy("host", "leaf").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = sums.where((F.col("pages") >= LEAST) & (F.col("same") >= AGREE * F.col("pages"))).groupBy("host").agg(F.collect_list("leaf").alias("constant"))
+    shapes = pages.mapInArrow(_shapes, "host string, sign long, n long, size long, h long, exemplar string")
+    shapes = shapes.groupBy("host", "sign").agg(F.sum(F.col("n") * F.col("size")).alias("weight"), F.min(F.struct("h", "exemplar")).alias("x"))
+    best = shapes.withColumn("e", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("weight"), "x.h", "sign")) - 1).where(F.col("e") < EXEMPLARS)
+    exemplars = F.transform(F.array_sort(F.collect_list(F.struct("e", "x.exemplar"))), lambda x: x["exemplar"])
+    exemplars = scratch.keep(best.groupBy("host").agg(exemplars.alias("exemplars")), "exemplars")
+    counts = _by_host(pages.select("host", "html"), exemplars, "inner").mapInArrow(_agreements, "host string, e int, leaf int, pages long, same long")
+    sums = counts.groupBy("host", "e", "leaf").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    sums = sums.withColumn("fixed", (F.col("pages") >= LEAST) & (F.col("same") >= AGREE * F.col("pages")))
+    told = sums.groupBy("host", "e").agg(F.collect_list(F.when(F.col("fixed"), F.struct("e", "leaf"))).alias("constant"), F.min("fixed").alias("all")).where((F.col("e") == 0) | ~F.col("all"))
+    constant = told.groupBy("host").agg(F.flatten(F.collect_list("constant")).alias("constant"))
     wrappers = scratch.keep(exemplars.join(constant, "host"), "wrappers")
-    return _by_host(pages, wrappers, "left").select("page_id", "url", "html", "exemplar", "constant").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return _by_host(pages, wrappers, "left").select("page_id", "url", "html", "exemplars", "constant").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,23 @@ def test_constant_text_within_long_pages(spark):
         rows.append((i, f"http://long.org/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>"))
     got, _ = run(spark, rows)
     assert all("Subscribe" not in got[i] and got[i].count("says") == 403 + i % 3 for i in range(8))
+
+
+def test_least_page_is_empty(spark):
+    import xxhash
+
+    page = "<body><div><p>Our site since 1999</p></div><article><h1>Title {0}</h1><p>Text {0}</p><div><p>Tell a friend.</p></div></article></body>"
+    for stub in (None, "", "<body><p>404</p></body>"):
+        rows = [(i, f"http://same.org/{i}", page.format(i)) for i in range(12)]
+        least = min(rows, key=lambda r: xxhash.xxh3_64_intdigest(f"{r[0]} {r[1]}") >> 1)[0]
+        rows[least] = (*rows[least][:2], stub)
+        got, _ = run(spark, rows)
+        assert all(got[i] == f"Title {i}\n\nText {i}" for i in range(12) if i != least)
+
+
+def test_two_templates_of_a_host(spark):
+    one = "<body><article><h1>Title {0}</h1><p>Text {0}</p><div class='x'><p>Tell a friend.</p></div></article></body>"
+    two = "<body><main><section><h2>Item {0}</h2><div class='y'><p>Offers end soon.</p></div><ul><li>fact {0}</li></ul></section></main></body>"
+    rows = [(i, f"http://two.org/{i}", (one, two)[i % 2].format(i)) for i in range(24)]
+    got, _ = run(spark, rows)
+    assert all(got[i] == (f"Item {i}\n\nfact {i}" if i % 2 else f"Title {i}\n\nText {i}") for i in range(24))
