@@ -8,6 +8,9 @@ sequences whose residual capacities fit best, by weighted dot product or by leas
 sequences at a time. The solution is a small table of slots (length, first rank, sequences, offset); a piece finds
 its slot by its rank among the pieces of its length, counted per task and summed over tasks.
 
+With the capacities of the contract (a sequence's tokens alone are limited) no sequence can exceed the document and
+attention capacities before its tokens; their residuals weigh as much as the tokens' in the choice among sequences.
+
 Results: one row per piece. Null and empty texts are one piece of the single id 0; repeated rows are packed each by
 itself, under their own doc_id, which may be null; no documents give no rows; further columns are ignored. Ties go to
 the sequence opened first.
@@ -15,13 +18,14 @@ the sequence opened first.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +40,7 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
 
@@ -46,13 +50,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Chunks whose ids a Python worker remembers.
-REMEMBERED = 250_000
+#: Chunks whose ids a Python worker remembers; rank rows that are sent to all executors at most (20 MB or so).
+REMEMBERED, SENT_RANKS = 250_000, 200_000
 #: White space that is not ASCII.
 WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pre-tokens of byte-level BPE, as its authors published them.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-ODD = r"[^\x00-\x{24f}]|<\|"
+ODD = r"[^\x00-\x{24f}]"
 
 
 def _byte_signs() -> dict[int, int]:
@@ -68,20 +70,30 @@ SPACE_SIGN = chr(BYTE_SIGNS[32])
 SIGN_KINDS = np.array([1 if chr(b).isalpha() and b < 128 else 2 if 32 < b < 127 and not chr(b).isalnum() else 0 for b in range(256)], np.uint8)
 
 
+def _by_bytes(spec: dict) -> bool:
+    """Whether the file holds plain byte-level BPE, whose pre-tokens end where Ids cuts."""
+    pre = spec["pre_tokenizer"] or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+    return bool(plain and spec["model"]["type"] == "BPE" and not spec["normalizer"])
+
+
 class Ids:
     """Token ids of whole texts, by way of chunks.
 
     The vocabulary's pre-tokens never reach from a character that is no white space over the white space behind it,
     nor from an ASCII letter over the sign behind it, so the ids of a text are those of its chunks between such places
-    one after another. Chunks repeat, so each is split into pre-tokens and encoded by the tokenizer's model once. Texts with white space beyond ASCII, and
-    chunks with letters beyond Latin ones or with the mark of an added token, go through the whole tokenizer.
+    one after another. Chunks repeat, so each is split by the tokenizer's own pre-tokenizer and encoded by its model once.
+    Texts with white space beyond ASCII or with an added token's text, and chunks with letters beyond Latin ones, go
+    through the whole tokenizer; so does every text if the file holds another kind of tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.pretokens = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        whole = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([f"[{WIDE}]", *whole]) if _by_bytes(json.loads(self.tokenizer.to_str())) else "(?s)."
         self.forget()
 
     def forget(self) -> None:
@@ -103,7 +115,7 @@ class Ids:
                 signs = chunk.replace(" ", SPACE_SIGN) if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_SIGNS)
                 ids = [t.id for t in tokenize(signs)]
             else:
-                ids = [t.id for word in PRETOKEN.findall(chunk) for t in tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]
+                ids = [t.id for signs, _ in self.pretokens.pre_tokenize_str(chunk) for t in tokenize(signs)]
             flat += ids
             size.append(len(ids))
         self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks)), strict=True))
@@ -115,7 +127,7 @@ class Ids:
     def texts(self, column: pa.Array) -> list[np.ndarray]:
         column = pa.concat_arrays([pc.fill_null(column, "")])
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(column)
-        wide = np.asarray(pc.match_substring_regex(column, f"[{WIDE}]"))
+        wide = np.asarray(pc.match_substring_regex(column, self.whole))
         if wide.any():
             for i, ids in zip(np.flatnonzero(wide), self._encode(column.filter(pa.array(wide)).to_pylist()), strict=True):
                 out[i] = ids
@@ -266,7 +278,8 @@ def pack(docs: DataFrame, cap: Capacity = Capacity(), tokenizer: str | None = No
     slots = np.array(sorted(solve(counts, cap)), np.int64).reshape(-1, 5).T
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = scratch.keep(parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "ranks")
-    ranked = pieces.join(ranks, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    few = ranks.count() <= SENT_RANKS
+    ranked = pieces.join(F.broadcast(ranks) if few else ranks.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(_place(spark.sparkContext.broadcast(slots)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -72,3 +72,48 @@ def test_capacities(spark, rule):
     for pieces in bins.values():
         assert len(pieces) <= 4 and sum(n for _, n in pieces) <= 128 and sum(n * n for _, n in pieces) <= 10000
     assert len(bins) <= 1.25 * max(sum(k * n for k, n in counts.items()) / 128, sum(k * k * n for k, n in counts.items()) / 10000, 3000 / 4)
+
+
+def test_ids_equal_the_tokenizers():
+    """Texts of plain and odd white space, signs, letters of many scripts, and whole and broken texts of added tokens."""
+    import random
+
+    import pyarrow as pa
+
+    coder, r = op.Ids(op.default_tokenizer()), random.Random(1)
+    parts = ["a", "It's", " ", "  ", "\n", "<|", "|>", "endoftext", "<|endoftext|>", "é", "12", "!", "x1", "ñ", "'ll", " '", "\t", "\u2003", "中", "<|endof", "A", "_", "\x1c", "ß"]
+    texts = ["It's so   wide's 12 <|endoftext|> end", "<|endoftext|>", "<|endoftext|", *("".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(5000))]
+    for text, ids in zip(texts, coder.texts(pa.array(texts)), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_another_kind_of_tokenizer_reads_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    spec = json.loads(open(op.default_tokenizer(), encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    coder = op.Ids(str(path))
+    texts = ["a b!c", "", "word", None]
+    assert [x.tolist() for x in coder.texts(pa.array(texts))] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_the_vector_chooses_other_sequences_at_no_cost(spark):
+    counts = {r[0]: r[1] for r in op.op9_best_fit_packing(spark, "/root/testdata/sf0.01").groupBy("length").count().collect()}
+    vector, scalar = op.solve(counts, op.Capacity()), op.solve(counts, op.Capacity(weights=(1.0, 0.0, 0.0)))
+    assert vector != scalar
+    assert max(n + base for _, _, n, base, _ in vector) == max(n + base for _, _, n, base, _ in scalar) == -(-sum(k * n for k, n in counts.items()) // 2048)
+
+
+def test_both_joins_and_clashing_columns(spark, monkeypatch):
+    rows = [(i, "w " * (i * 37 % 900), 1, "x", 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", part int, length string, rank int")
+    want = expected([r[:2] for r in rows])
+    assert got(op.pack(docs).collect()) == want
+    monkeypatch.setattr(op, "SENT_RANKS", -1)
+    out = op.pack(docs).collect()
+    assert got(out) == want
+    valid(out)
