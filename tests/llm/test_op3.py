@@ -1,23 +1,21 @@
 from collections import defaultdict
 
+import duckdb
+
 from tessera.llm import op3_lines as op
 
 SCHEMA = "doc_id long, text string, source string"
 
 
-def brute(rows, sites, share=0.5):
-    seen = defaultdict(set)
+def brute(rows, sites):
+    seen, texts = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
         for x in (t or "").split("\n"):
             if x.strip(op.BLANK) and s is not None:
                 seen[x.strip(op.BLANK)].add(s)
-    out = []
-    for d, t, _ in rows:
-        if t is not None:
-            new = "\n".join(x for x in t.split("\n") if len(seen[x.strip(op.BLANK)]) < sites)
-            t = new if len(new) >= len(t) * (1 - share) else t
-        out.append((d, t))
-    return sorted(out, key=str)
+                texts[x.strip(op.BLANK)].add(t)
+    gone = {x for x in seen if len(seen[x]) >= sites and len(texts[x]) > 1}
+    return sorted([(d, t if t is None else "\n".join(x for x in t.split("\n") if x.strip(op.BLANK) not in gone)) for d, t, _ in rows], key=str)
 
 
 def run(spark, rows, sites):
@@ -41,9 +39,11 @@ def test_many_sites(spark):
 
 def test_empty_and_extra_columns(spark):
     assert run(spark, [], 3) == []
-    df = spark.createDataFrame([(1, "a", "s", 5, "z")], SCHEMA + ", n int, h1 string")
-    out = op.dedup_lines(df, 2)
-    assert out.columns == df.columns and out.collect() == df.collect()
+    names = "n int, h1 string, k1 long, k2 string, gone string, row string, site string, __k1 string, line string"
+    rows = [(i, f"Menu\nown {i}", f"s{i}", 5, "z", 7, "a", "b", "c", "d", "e", "f") for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA + ", " + names)
+    out = op.dedup_lines(df, 3)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(i, f"own {i}", *r[2:]) for i, r in enumerate(rows)]
 
 
 def test_whole_table(spark):
@@ -53,9 +53,20 @@ def test_whole_table(spark):
     assert got == brute(rows, op.SITES) and got != sorted([(d, t) for d, t, _ in rows], key=str)
 
 
-def test_only_exact_copies_keep_spread_lines(spark):
+def test_lines_go_from_every_document_but_whole_copies_are_left(spark, monkeypatch):
     menu, passage = "Menu | Home | Contact", "a passage of many words " * 20 + "that all sites show"
     rows = [(i, f"{menu}\n{passage}\nown {i}", f"s{i}") for i in range(12)] + [(50, menu, "s1"), (51, f"{menu}\nshort", "s2")]
     rows += [(60 + i, f"copied line one\ncopied line two\n{menu}", f"t{i}") for i in range(10)]
-    want = [(i, f"own {i}") for i in range(12)] + [(50, ""), (51, "short")] + [(i, t) for i, t, _ in rows if i >= 60]
+    rows += [(80 + i, None, f"t{i}") for i in range(10)]
+    want = [(i, f"own {i}") for i in range(12)] + [(50, ""), (51, "short")] + [(60 + i, "copied line one\ncopied line two") for i in range(10)] + [(80 + i, None) for i in range(10)]
+    assert run(spark, rows, 10) == sorted(want, key=str) == brute(rows, 10)
+    monkeypatch.setattr(op, "SENT_LINES", -1)
     assert run(spark, rows, 10) == sorted(want, key=str)
+
+
+def test_oracle(spark):
+    d = "/root/testdata/sf0.1"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    got = sorted([(r.doc_id, r.text) for r in op.op3_line_dedup(spark, d).collect()], key=str)
+    assert got == sorted(c.execute(op.ORACLE).fetchall(), key=str)

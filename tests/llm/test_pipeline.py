@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark):
         elif name == "line dedup":
             text = dict(test_op3.brute([(i, t, site[i]) for i, t in text.items()], op3_lines.SITES))
         elif name == "n-gram Jaccard join":
-            text = {i: text[i] for i, _, c in test_op6.brute(sorted(text.items())) if i == c}
+            text = {i: text[i] for i, _, c in test_op6.brute(sorted(text.items()), pipeline.NEAR_WORDS, pipeline.NEAR_PERCENT) if i == c}
         else:
             grams = {}
             for i, t in items:
