@@ -2,12 +2,11 @@
 
 A text is cut into sentences, twice: at line ends and sentence ends, and at sentence ends and blank lines alone (for licence
 texts that are wrapped). Normalised sentences (lower case, letters and digits, single blanks) are looked up as identifiers:
-whole known sentences, or a grant phrase ("licensed under the ...") with a known licence name behind it. The
-identifiers in text order form a sequence; a rule is an ordered list of identifiers that must occur in that order,
-others between them allowed. A rule may give way to a more specific one. Sentences that official notices break by colons or
-semicolons are known by their pieces too, as the cut leaves them. Only texts that hold one of the OPENINGS, of which every
-known sentence and grant has one, are cut at all. One projection does it: no shuffle, no join. ORACLE knows less than the
-scan: the first SENTENCES, NAMES and RULES behind the filter ANCHORS, without pieces, headers and SPDX tags.
+whole known sentences, a licence's title, or a grant phrase ("licensed under the ...") with a known licence name behind
+it. The identifiers in text order form a sequence; a rule is an ordered list of identifiers that must occur in that
+order, others between them allowed. A rule may give way to a more specific one. Sentences that official notices break by
+colons or semicolons are known by their pieces too, as the cut leaves them. Only texts that hold one of the OPENINGS, of
+which every known sentence and grant has one, are cut at all. One projection does it: no shuffle, no join.
 
 Results: a row per document: licenses (sorted names joined by ", "; empty if none) and sentence_ids (of the reading
 that found rules, joined by ","). Null and empty texts have none; repeated rows are treated alike; null ids are
@@ -20,12 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.op10_oracle import ORACLE  # noqa: F401
 
-# Public licence names, sentences of their texts, and the order in which a licence has them.
+# Public licence names, titles and sentences of their texts, and the order in which a licence has them.
 NAMES = {
     "mit license": "MIT",
     "mit licence": "MIT",
     "apache license version 2 0": "Apache-2.0",
+    "apache license version 2 0 the license": "Apache-2.0",
     "apache license 2 0": "Apache-2.0",
     "apache 2 0 license": "Apache-2.0",
     "gnu general public license version 2": "GPL-2.0",
@@ -38,12 +39,15 @@ NAMES = {
     "gnu lesser general public license version 3": "LGPL-3.0",
     "gnu affero general public license version 3": "AGPL-3.0",
     "mozilla public license version 2 0": "MPL-2.0",
+    "mozilla public license v 2 0": "MPL-2.0",
     "mozilla public license 2 0": "MPL-2.0",
     "bsd 2 clause license": "BSD-2-Clause",
     "bsd 3 clause license": "BSD-3-Clause",
     "isc license": "ISC",
+    "zlib license": "Zlib",
     "boost software license version 1 0": "BSL-1.0",
     "eclipse public license version 2 0": "EPL-2.0",
+    "eclipse public license v 2 0": "EPL-2.0",
     "cc0 1 0": "CC0-1.0",
     "cc by 4 0": "CC-BY-4.0",
     "cc by sa 4 0": "CC-BY-SA-4.0",
@@ -55,6 +59,22 @@ NAMES = {
     "creative commons attribution sharealike 4 0 international license": "CC-BY-SA-4.0",
     "creative commons attribution noncommercial 4 0 international license": "CC-BY-NC-4.0",
 }
+#: What stands alone above a licence's whole text.
+TITLES = {
+    "apache license version 2 0 january 2004 http www apache org licenses": "Apache-2.0",
+    "gnu general public license version 2 june 1991": "GPL-2.0",
+    "gnu general public license version 3 29 june 2007": "GPL-3.0",
+    "gnu lesser general public license version 2 1 february 1999": "LGPL-2.1",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL-3.0",
+    "gnu affero general public license version 3 19 november 2007": "AGPL-3.0",
+    "mozilla public license version 2 0": "MPL-2.0",
+    "boost software license version 1 0 august 17th 2003": "BSL-1.0",
+    "eclipse public license v 2 0": "EPL-2.0",
+    "cc0 1 0 universal": "CC0-1.0",
+    "creative commons attribution 4 0 international public license": "CC-BY-4.0",
+    "creative commons attribution sharealike 4 0 international public license": "CC-BY-SA-4.0",
+    "creative commons attribution noncommercial 4 0 international public license": "CC-BY-NC-4.0",
+}
 SENTENCES = {
     "all rights reserved": "rights-reserved",
     "the mit license": "mit-title",
@@ -66,76 +86,61 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost-grant",
     "you may not use this file except in compliance with the license": "apache-comply",
     "you may obtain a copy of the license at": "apache-copy",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "http www apache org licenses license 2 0": "apache-url",
+    "https www apache org licenses license 2 0": "apache-url",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mozilla-form",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "this work is dedicated to the public domain": "public-domain",
     "this software is in the public domain": "public-domain",
 }
+#: Licences of the GNU notice: name and version in it.
+GNU = {
+    "GPL-2.0": ("gnu general public license", "2"),
+    "GPL-3.0": ("gnu general public license", "3"),
+    "LGPL-2.1": ("gnu lesser general public license", "2 1"),
+    "LGPL-3.0": ("gnu lesser general public license", "3"),
+    "AGPL-3.0": ("gnu affero general public license", "3"),
+}
 #: Rules: a licence's name and the identifiers that a text has in this order.
 RULES = [
     *((name, (f"name:{name}",)) for name in sorted(set(NAMES.values()))),
+    *((name, (f"title:{name}",)) for name in sorted(set(TITLES.values()))),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("MIT", ("mit-title", "mit-warranty")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("ISC", ("isc-grant",)),
-    ("GPL-2.0", ("gpl2-grant",)),
-    ("GPL-3.0", ("gpl3-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Apache-2.0", ("apache-comply", "apache-copy", "apache-url")),
+    ("MPL-2.0", ("mozilla-form",)),
     ("Unlicense", ("unlicense-grant",)),
     ("Public-Domain", ("public-domain",)),
     ("All-Rights-Reserved", ("rights-reserved",)),
 ]
-#: A licence gives way where the other is found too.
-YIELDS = {"BSD-2-Clause": ("BSD-3-Clause",)}
-GRANT = r"^(?:spdx license identifier |(?:this (?:work|software|program|project|file|document|code|content|text|page) is |it is |content is )?(?:dual )?(?:licensed|released|distributed|published|available|made available|provided) under (?:the )?(?:terms of )?(?:the )?)(.+)$"
-SPDX = {k.lower().replace("-", " ").replace(".", " "): k for k in sorted(set(NAMES.values()))}
-ANCHORS = "licen[cs]e|rights reserved|permission|redistribut|warrant|public domain|free software"
-CUT, WRAPPED = r"[.!?;:]*[ \t\r]*\n|[.!?;:]+[ \t\r]+", r"[.!?;:]+[ \t\r\n]+|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*"
-
-#: What the scan knows beyond that: pieces of the GNU notices, the Apache header, SPDX tags.
-GNU = {
-    "GPL-2.0": ("gnu general public license", "2"),
-    "GPL-3.0": ("gnu general public license", "3"),
-    "LGPL-2.1": ("gnu lesser general public license", "2 1"),
-    "LGPL-3.0": ("gnu lesser general public license", "3"),
-    "AGPL-3.0": ("gnu affero general public license", "3"),
-}
-MORE_NAMES = {"apache license version 2 0 the license": "Apache-2.0", **{f"{k.lower().replace('-', ' ').replace('.', ' ')} {x}": k for k in GNU for x in ("only", "or later")}}
-MORE_SENTENCES = {
-    "http www apache org licenses license 2 0": "apache-url",
-    "https www apache org licenses license 2 0": "apache-url",
-    "but without any warranty": "gpl-no-warranty",
-    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-no-warranty",
-    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-no-fitness",
-}
-MORE_RULES = [("Apache-2.0", ("apache-comply", "apache-copy", "apache-url")), ("MIT", ("mit-title", "mit-warranty"))]
 for _license, (_name, _version) in GNU.items():
     _terms = f"you can redistribute it and or modify it under the terms of the {_name} as published by the free software foundation"
     _either = f"either version {_version} of the license or at your option any later version"
-    _kind, _short = _name.split()[1], _license.lower()
+    _kind, _short, _any = _name.split()[1], _license.lower(), f"gnu-either-{_version.replace(' ', '.')}"
     for _what in ("program", "library", "software", "file"):
         _free = f"this {_what} is free software"
-        MORE_SENTENCES |= {_free: "gnu-free", f"{_free} {_terms}": f"{_kind}-free-terms"}
-        MORE_SENTENCES |= {f"{_free} {_terms} {_either}": f"{_short}-grant"} if f"{_free} {_terms} {_either}" not in SENTENCES else {}
-    MORE_SENTENCES |= {_terms: f"{_kind}-terms", _either: f"gnu-either-{_version.replace(' ', '.')}", f"{_terms} {_either}": f"{_short}-terms-either"}
-    MORE_RULES += [
-        (_license, (f"{_short}-grant",)),
-        (_license, ("gnu-free", f"{_short}-terms-either")),
-        (_license, ("gnu-free", f"{_kind}-terms", f"gnu-either-{_version.replace(' ', '.')}")),
-        (_license, (f"{_kind}-free-terms", f"gnu-either-{_version.replace(' ', '.')}")),
-    ]
+        SENTENCES |= {_free: "gnu-free", f"{_free} {_terms}": f"{_kind}-free-terms", f"{_free} {_terms} {_either}": f"{_short}-grant"}
+    SENTENCES |= {_terms: f"{_kind}-terms", _either: _any, f"{_terms} {_either}": f"{_short}-terms-either"}
+    NAMES |= {f"{_short.replace('-', ' ').replace('.', ' ')} {x}": _license for x in ("only", "or later")}
+    RULES += [(_license, x) for x in ((f"{_short}-grant",), ("gnu-free", f"{_short}-terms-either"), ("gnu-free", f"{_kind}-terms", _any), (f"{_kind}-free-terms", _any))]
+#: A licence gives way where the other is found too.
+YIELDS = {"BSD-2-Clause": ("BSD-3-Clause",)}
+GRANT = r"^(?:spdx license identifier |(?:this (?:work|software|program|project|file|document|code|content|text|page) is |it is |content is )?(?:dual )?(?:licensed|released|distributed|published|available|made available|provided) under (?:the )?(?:terms of )?(?:the )?)(.+)$"
+SPDX = {k.lower().replace("-", " ").replace(".", " "): k for k in sorted(set(NAMES.values()))}
 #: Between words of a known sentence anything may stand that isn't a letter or digit.
-OPENINGS = "licen[cs]e|rights[^a-z0-9]+reserved|permission|redistribut|warrant|public[^a-z0-9]+domain|free[^a-z0-9]+software|(?:released|distributed|published|available|provided)[^a-z0-9]+under|version[^a-z0-9]+[0-9]"
-#: A tag's name stays with its value.
-TAGGED = "(?<!spdx-license-identifier)"
-ENDS = tuple("|".join(TAGGED + x for x in c.split("|")) for c in (CUT, WRAPPED))
-
-
-def _known() -> tuple[dict[str, str], dict[str, str]]:
-    return SENTENCES, {k: f"name:{v}" for k, v in {**SPDX, **NAMES}.items()}
+OPENINGS = "licen[cs]e|rights[^a-z0-9]+reserved|permission|redistribut|warrant|public[^a-z0-9]+domain|free[^a-z0-9]+software|(?:released|distributed|published|available|provided)[^a-z0-9]+under|version[^a-z0-9]+[0-9]|cc0"
+#: Where sentences end; a tag's name stays with its value, and "v." with its number.
+KEPT = r"(?<!spdx-license-identifier)(?<!\bv)"
+ENDS = rf"{KEPT}[.!?;:]*[ \t\r]*\n|{KEPT}[.!?;:]+[ \t\r]+", rf"{KEPT}[.!?;:]+[ \t\r\n]+|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*"
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
@@ -148,7 +153,8 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def _sequence(cut: str) -> Column:
-    sentences, names = (_map({**x, **more}) for x, more in zip(_known(), (MORE_SENTENCES, {k: f"name:{v}" for k, v in MORE_NAMES.items()}), strict=True))
+    sentences = _map({**{k: f"title:{v}" for k, v in TITLES.items()}, **SENTENCES})
+    names = _map({k: f"name:{v}" for k, v in {**SPDX, **NAMES}.items()})
 
     def name(s: Column) -> Column:
         plain = F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
@@ -160,7 +166,7 @@ def _sequence(cut: str) -> Column:
 
 def _licenses(seq: Column) -> Column:
     found: dict[str, list[str]] = {}
-    for license_, ids in RULES + MORE_RULES:
+    for license_, ids in RULES:
         found.setdefault(license_, []).append(_pattern(ids))
     holds = {k: seq.rlike("|".join(v)) for k, v in found.items()}
     cases = []
@@ -185,35 +191,3 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
-
-
-def _oracle() -> str:
-    text = lambda x: "'" + x.replace("'", "''") + "'"
-    case = lambda pairs, col: f"CASE {col} " + " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in pairs.items()) + " END"
-    sentences, names = _known()
-    escaped = lambda x: text(x)
-
-    def seq(cut: str, name: str) -> str:
-        return f"""{name}p AS (SELECT r, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS p, i FROM (SELECT r, unnest(a) AS s, unnest(range(len(a))) AS i FROM (SELECT r, string_split_regex(lower(text), {escaped(cut)}) AS a FROM c))),
-{name} AS (SELECT r, ',' || coalesce(string_agg(id, ',' ORDER BY i) FILTER (WHERE id IS NOT NULL), '') || ',' AS s FROM (SELECT r, i, coalesce({case(sentences, "p")}, {case(names, f"regexp_extract(p, {escaped(GRANT)}, 1)")}) AS id FROM {name}p) GROUP BY r)"""
-
-    def licenses(col: str) -> str:
-        found: dict[str, list[str]] = {}
-        for k, ids in RULES:
-            found.setdefault(k, []).append(_pattern(ids))
-        holds = {k: f"regexp_matches({col}, {text('|'.join(v))})" for k, v in found.items()}
-        parts = [f"CASE WHEN {' AND NOT '.join([holds[k], *(holds[o] for o in YIELDS.get(k, ()))])} THEN {text(k)} END" for k in sorted(holds)]
-        return f"coalesce(array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ', '), '')"
-
-    return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-c AS (SELECT r, text FROM d WHERE regexp_matches(lower(text), {text(ANCHORS)})),
-{seq(CUT, "s1")},
-{seq(WRAPPED, "s2")},
-b AS (SELECT r, s1.s AS q1, s2.s AS q2, {licenses("s1.s")} AS l1, {licenses("s2.s")} AS l2 FROM s1 JOIN s2 USING (r))
-SELECT doc_id, coalesce(CASE WHEN length(l1) >= length(l2) THEN l1 ELSE l2 END, '') AS licenses,
-  coalesce(trim(CASE WHEN length(l1) >= length(l2) THEN q1 ELSE q2 END, ','), '') AS sentence_ids
-FROM d LEFT JOIN b USING (r)"""
-
-
-ORACLE = _oracle()
