@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose content is no markup, and of which nothing is read.
@@ -24,6 +25,8 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 SCOPE = {"html", "table", "td", "th", "button", "object", "template"}
+#: Levels of a tree at most, as in browsers: what is nested deeper lies side by side in the last one.
+DEPTH = 512
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
     r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
@@ -35,14 +38,11 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 class Node:
     """An element (tag, attrs, children) or, with the tag "", a run of text."""
 
-    __slots__ = ("attrs", "children", "linked", "tag", "text")
+    __slots__ = ("attrs", "children", "label", "linked", "tag", "text")
 
     def __init__(self, tag: str, attrs: dict | None = None, text: str = "", linked: int = 0):
         self.tag, self.attrs, self.text, self.linked, self.children = tag, attrs or {}, text, linked, []
-
-    @property
-    def label(self) -> str:
-        return f"{self.tag}.{self.attrs.get('class', '')}" if self.tag else ""
+        self.label = f"{tag}.{self.attrs.get('class', '')}" if tag else ""
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -54,6 +54,7 @@ def parse(page: str) -> Node:
     white space made one blank, trimmed; `linked` counts its characters inside links."""
     root = Node("#root")
     stack, run, in_links, linked = [root], [], 0, 0
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal run, linked
@@ -65,6 +66,7 @@ def parse(page: str) -> Node:
 
     def close(upto: int) -> None:
         flush()
+        opened.subtract(x.tag for x in stack[upto:])
         del stack[upto:]
 
     at, n = 0, len(page)
@@ -85,7 +87,7 @@ def parse(page: str) -> Node:
             if tag in INLINE:
                 in_links = 0 if tag == "a" else in_links
             elif tag not in VOID:
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[i].tag == tag:
                         close(i)
                         break
@@ -107,7 +109,7 @@ def parse(page: str) -> Node:
                     continue
                 if tag in ENDS:
                     ends, scope = ENDS[tag]
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                         if stack[i].tag in scope:
                             break
                         if stack[i].tag in ends:
@@ -115,15 +117,16 @@ def parse(page: str) -> Node:
                             if tag not in ("tr", "tbody"):
                                 break
                 else:
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                         if stack[i].tag in SCOPE:
                             break
                         if stack[i].tag == "p":
                             close(i)
                             break
                 node = Node(tag, attributes(m["attrs"]))
-                stack[-1].children.append(node)
+                stack[min(len(stack), DEPTH) - 1].children.append(node)
                 stack.append(node)
+                opened[tag] += 1
     flush()
     return root
 

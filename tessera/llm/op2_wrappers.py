@@ -3,25 +3,31 @@
 Pages of one host come from few templates, told apart by a page's set of label paths. Each host has up to EXEMPLARS pages
 as exemplars: of the path sets that cover most (pages times paths) the page of least hash of its id and address; pages
 without text are none. Every page's block tree is aligned with the first exemplar's and with that of the nearest path
-set by simple tree matching (Yang 1991: equal labels, then the best ordered matching of children). Where aligned texts
-agree on most of the pages, the node is template, unless nothing but such nodes is in a further exemplar (its pages are
-copies);
-where they vary, it is a slot. Agreements are counted over all pages of a host and summed across partitions, so a
-host of any size is never gathered. A page's text is what its article holds outside of template nodes and of elements
-that say what they are (menus, headers, footers, asides, notices, adverts, forms, comments).
+set by simple tree matching (Yang 1991: equal labels, then the best ordered matching of children). Counts over all pages of
+a host, summed across partitions, make the wrapper, so a host of any size is never gathered:
 
-Exemplars and wrappers are joined to pages by host: sent to all executors while their bytes are below BROADCAST_BYTES,
-else by a shuffle whose large hosts adaptive execution splits.
+* where aligned texts agree on most of the pages, the node is template, unless nothing but such nodes is in an exemplar (its
+  pages are copies); where they vary, it is a slot;
+* the slot of the article is the deepest container that holds CORE of what varies on the host's pages, with the headline
+  if one such container has it.
+
+A page's text is what the article's slot holds without template nodes. Only what a wrapper can't tell is left to names:
+parts that vary and say what they are (menus, headers, footers, asides, notices, adverts, forms, comments), and the article's
+place on pages whose host has no wrapper or that don't align with it.
+
+Exemplars and wrappers meet their pages by host: sent to all executors while their bytes are below BROADCAST_BYTES; beyond,
+both are dealt out by host, hot hosts over several tasks, each of which gets the host's wrapper once, before its pages.
 
 Results: a row per page: page_id, url, text, n_chars. Null and empty pages have an empty text; a null or odd url makes
 a host of its own name; repeated rows give repeated results; no pages give none; further columns are ignored. Hosts of
-fewer than LEAST pages have no template. Matching is exact
-for lists of any length; those of more than MATCH child pairs take linear memory.
+fewer than LEAST pages have no wrapper. Trees have at most html.DEPTH levels, so deep pages align like others. Matching is
+exact for lists of any length; those of more than MATCH child pairs take linear memory.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,12 @@ LEAST, AGREE = 5, 0.8
 #: Exemplars of a host, and path sets of a host that a task remembers.
 EXEMPLARS, REMEMBERED = 4, 16
 MATCH, BROADCAST_BYTES = 40_000, 16 << 20
+#: Share of a host's varying text that the article's slot holds; characters of parsed exemplars that a worker remembers.
+CORE, PARSED = 0.7, 4 << 20
+#: Pages of a host that one task takes at most where wrappers are dealt out, or so that at most DEALT hosts are split.
+HOT, DEALT = 4096, 100_000
+CONTAINERS = {"div", "section", "article", "main", "td", "center"}
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))  # for trees of DEPTH levels
 DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "datalist", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
 SAYING = {
@@ -75,7 +87,7 @@ def _titled(node: Node) -> list[Node]:
     return out
 
 
-def main_node(root: Node, whole: int) -> Node:
+def main_node(root: Node, whole: int, kinds: tuple[str, ...] = ("article", "main", "named")) -> Node:
     """The element that holds the article: the largest article, else the main element, else the one that says so, else all."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
     todo = [root]
@@ -92,27 +104,37 @@ def main_node(root: Node, whole: int) -> Node:
             if set(names) & MAIN:
                 found["named"].append(x)
         todo += reversed(x.children)
-    for kind in ("article", "main", "named"):
+    for kind in kinds:
         if found[kind]:
             return max(found[kind], key=text_size)
     return root
 
 
-def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """Texts of the article in page order; template: ids of nodes that aren't content."""
+def without(root: Node, template: set[int]) -> None:
+    """Takes template texts out of a tree."""
+    todo = [root] if template else []
+    while todo:
+        x = todo.pop()
+        x.children = [c for c in x.children if id(c) not in template]
+        todo += x.children
+
+
+def blocks(root: Node, slot: Node | None = None, named: bool = True) -> list[str]:
+    """Texts of the article in page order; slot: where the host's wrapper has it; named: whether names count."""
     whole = text_size(root)
-    top = main_node(root, whole)
+    if named:
+        top = main_node(slot, whole, ("article", "main")) if slot else main_node(root, whole)
+    else:
+        top = slot or root
     inside = top.tag == "article" or top is not root
     out: list[str] = []
     todo = [top]
     while todo:
         x = todo.pop()
-        if id(x) in template:
-            continue
         if not x.tag:
             if inside or x.linked * 2 <= len(x.text):
                 out.append(x.text)
-        elif x is not top and says(x, whole):
+        elif named and x is not top and says(x, whole):
             if inside and (x.tag == "header" or "header" in x.attrs.get("class", "")):
                 todo += reversed(_titled(x))
         else:
@@ -120,12 +142,11 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
     return out
 
 
-def leaves(root: Node) -> list[Node]:
+def preorder(root: Node) -> list[Node]:
     todo, out = [root], []
     while todo:
         x = todo.pop()
-        if not x.tag:
-            out.append(x)
+        out.append(x)
         todo += reversed(x.children)
     return out
 
@@ -147,10 +168,10 @@ def _align(a: Node, b: Node, ka: dict, kb: dict) -> tuple[int, list[tuple[Node,
     """The best ordered matching of two trees of equal labels: most nodes, then most equal texts."""
     (sa, size, ta), (sb, _, tb) = _shape(a, ka), _shape(b, kb)
     if sa == sb:  # all nodes pair in one way only
-        pairs = list(zip(ta, tb, strict=True))
-        return size * NODE + sum(p.text == q.text for p, q in pairs), pairs
+        equal = sum(p.text == q.text for p, q in zip(ta, tb, strict=True))
+        return size * NODE + equal, list(zip(preorder(a), preorder(b), strict=True)) if a.children else [(a, b)]
     total, pairs = _lists(a.children, b.children, ka, kb)
-    return NODE + total, pairs
+    return NODE + total, [(a, b), *pairs]
 
 
 def _same(p: Node, q: Node, ka: dict, kb: dict) -> bool:
@@ -230,7 +251,7 @@ def _table(x: list[Node], y: list[Node], ka: dict, kb: dict) -> tuple[int, list[
 
 
 def match(a: Node, b: Node, known: dict | None = None) -> tuple[int, list[tuple[Node, Node]]]:
-    """Size of the best ordered matching of two trees of equal labels, and the texts it pairs, equal ones where it can;
+    """Size of the best ordered matching of two trees of equal labels, and the nodes it pairs, equal texts where it can;
     known: shapes of a's nodes."""
     total, pairs = _align(a, b, {} if known is None else known, {})
     return total // NODE, pairs
@@ -248,26 +269,50 @@ def paths(root: Node) -> frozenset[int]:
 
 
 class Exemplars:
-    """Parsed exemplars of the hosts that a worker has met, with the places of their texts, paths and shapes."""
+    """Parsed exemplars that a worker has met lately, with the places of their nodes, paths and shapes."""
 
-    def __init__(self, most: int = 2000):
-        self.most, self.known = most, {}
+    def __init__(self):
+        self.known: dict[str, tuple] = {}
+        self.size = 0
 
     def of(self, page: str) -> tuple[Node, dict[int, int], frozenset[int], dict]:
         if page not in self.known:
-            if len(self.known) >= self.most:
+            if self.size + len(page) > PARSED:
                 self.known.clear()
+                self.size = 0
+            self.size += len(page)
             root = parse(page)
-            self.known[page] = root, {id(x): i for i, x in enumerate(leaves(root))}, paths(root), {}
+            self.known[page] = root, {id(x): i for i, x in enumerate(preorder(root))}, paths(root), {}
         return self.known[page]
 
     def to_align(self, page: Node, exemplars: list[str]) -> list[int]:
-        """The first exemplar and the one of the nearest path set."""
+        """The exemplar of the nearest path set, and the first."""
         if len(exemplars) == 1:
             return [0]
         own = paths(page)
         near = [len(own & x) / len(own | x) for x in (self.of(e)[2] for e in exemplars)]
-        return sorted({0, near.index(max(near))})
+        return list(dict.fromkeys([near.index(max(near)), 0]))
+
+    def align(self, page: Node, exemplar: str) -> list[tuple[int, Node, Node]]:
+        """(place in the exemplar, its node, the page's node) of what the two have in common."""
+        root, place, _, shapes = self.of(exemplar)
+        return [(place[id(a)], a, b) for a, b in match(root, page, shapes)[1]]
+
+
+def slot_of(aligned: list[tuple[int, Node, Node]], core: set[int]) -> Node | None:
+    """The page's node at the deepest of the exemplar's containers that hold its host's varying text, with the headline if one
+    of them has it. They lie within one another, so the deepest comes last in order."""
+    found = [(a, b) for i, a, b in aligned if i in core and a.tag in CONTAINERS]
+    titled = [b for a, b in found if any(x.tag == "h1" for x in preorder(a))]
+    return titled[-1] if titled else found[-1][1] if found else None
+
+
+def _sizes(root: Node, template: set[int]) -> dict[int, int]:
+    """Characters below every element, without template texts."""
+    out: dict[int, int] = {}
+    for x in reversed(preorder(root)):
+        out[id(x)] = sum(out[id(c)] for c in x.children) if x.tag else 0 if id(x) in template else len(x.text)
+    return out
 
 
 def _shapes(batches):
@@ -298,70 +343,132 @@ def _shapes(batches):
         yield pa.record_batch(cols, ["host", "sign", "n", "size", "h", "exemplar"])
 
 
-def _agreements(batches):
-    """By host, exemplar and its text: pages that have it aligned, and pages that agree on it."""
-    seen: dict[tuple[str, int, int], list[int]] = {}
-    known = Exemplars()
+def _told(batches, sent):
+    """Steps of page rows, and of each row the facts of its host, if it has some: from what was sent, else from the rows of
+    facts that come before the pages of their host."""
+    host, told = None, None
     for batch in batches:
         for part in steps(batch, "html"):
-            for host, html, exemplars in zip(*(part.column(c).to_pylist() for c in ("host", "html", "exemplars")), strict=True):
+            hosts = part.column("host").to_pylist()
+            if sent is not None:
+                yield part, [sent.value.get(h) for h in hosts]
+                continue
+            rows, facts = [], []
+            for i, (h, fact) in enumerate(zip(hosts, part.column("fact").to_pylist(), strict=True)):
+                if fact is not None:
+                    host, told = h, fact
+                else:
+                    rows.append(i)
+                    facts.append(told if h == host else None)
+            yield part.take(pa.array(rows, pa.int64())), facts
+
+
+def _agreements(sent):
+    """By host, exemplar and its node: pages that have it aligned, pages that agree on its text, and characters that vary
+    below it on the pages nearest to the exemplar (null for texts)."""
+
+    def run(batches):
+        seen: dict[tuple[str, int, int], list] = {}
+        known = Exemplars()
+        for part, facts in _told(batches, sent):
+            for host, html, fact in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), facts, strict=True):
+                if fact is None:
+                    continue
                 page = parse(html)
-                for e in known.to_align(page, exemplars):
-                    root, place, _, shapes = known.of(exemplars[e])
-                    for a, b in match(root, page, shapes)[1]:
-                        n = seen.setdefault((host, e, place[id(a)]), [0, 0])
+                for nearest, e in enumerate(known.to_align(page, fact["exemplars"])):
+                    aligned = known.align(page, fact["exemplars"][e])
+                    sizes = _sizes(page, {id(b) for _, a, b in aligned if not b.tag and a.text == b.text}) if not nearest else {}
+                    for i, a, b in aligned:
+                        n = seen.setdefault((host, e, i), [0, 0, 0 if b.tag else None])
                         n[0] += 1
-                        n[1] += a.text == b.text
-    cols = [[k[0] for k in seen], [k[1] for k in seen], [k[2] for k in seen], [n for n, _ in seen.values()], [n for _, n in seen.values()]]
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "e", "leaf", "pages", "same"])
+                        if b.tag:
+                            n[2] += sizes.get(id(b), 0)
+                        else:
+                            n[1] += a.text == b.text
+        cols = [*([k[x] for k in seen] for x in range(3)), *([n[x] for n in seen.values()] for x in range(3))]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "e", "node", "pages", "same", "chars"])
 
+    return run
 
-def _extract(batches):
-    known = Exemplars()
-    for batch in batches:
-        for part in steps(batch, "html"):
+
+def _extract(sent, named: bool):
+    def run(batches):
+        known = Exemplars()
+        for part, facts in _told(batches, sent):
             texts = []
-            for html, exemplars, constant in zip(*(part.column(c).to_pylist() for c in ("html", "exemplars", "constant")), strict=True):
-                page = parse(html or "")
-                template: set[int] = set()
-                gone: dict[int, set[int]] = {}
-                for x in constant or ():
-                    gone.setdefault(x["e"], set()).add(x["leaf"])
-                for e in known.to_align(page, exemplars) if gone else ():
-                    if e in gone:
-                        root, place, _, shapes = known.of(exemplars[e])
-                        template |= {id(b) for a, b in match(root, page, shapes)[1] if place[id(a)] in gone[e] and a.text == b.text}
-                texts.append("\n\n".join(blocks(page, template)))
+            for html, fact in zip(part.column("html").to_pylist(), facts, strict=True):
+                page, slot = parse(html), None
+                if fact is not None:
+                    template: set[int] = set()
+                    for e in known.to_align(page, fact["exemplars"]):
+                        gone, core = ({x["node"] for x in fact[k] or () if x["e"] == e} for k in ("constant", "core"))
+                        if gone or core:
+                            aligned = known.align(page, fact["exemplars"][e])
+                            template |= {id(b) for i, a, b in aligned if i in gone and a.text == b.text}
+                            slot = slot or slot_of(aligned, core)
+                    without(page, template)
+                texts.append("\n\n".join(blocks(page, slot, named)))
             yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    return run
+
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def _by_host(pages: DataFrame, facts: DataFrame, how: str) -> DataFrame:
-    """Pages with their host's facts; facts are sent to all executors only if they are small."""
-    small = facts.agg(F.coalesce(F.sum(F.length(F.array_join("exemplars", ""))), F.lit(0))).first()[0] * 4 <= BROADCAST_BYTES
-    return pages.join(F.broadcast(facts) if small else facts.hint("merge"), "host", how)
+FACT = "struct<exemplars array<string>, constant array<struct<e int, node int>>, core array<struct<e int, node int>>>"
+
+
+def _with_facts(pages: DataFrame, facts: DataFrame, run, schema: str) -> DataFrame:
+    """run(sent) over the pages, with the facts (host, exemplars, constant, core) of their hosts."""
+    spark = pages.sparkSession
+    size = facts.agg(F.coalesce(F.sum(F.length(F.array_join("exemplars", "")) * 4 + 16 * F.coalesce(F.size("constant"), F.lit(0))), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        told = {r["host"]: r.asDict(recursive=True) for r in facts.collect()}
+        return pages.mapInArrow(run(spark.sparkContext.broadcast(told)), schema)
+    counts = pages.groupBy("host").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    most = max(HOT, -(-total // DEALT))  # so few hosts have more that they can be sent
+    hot = F.broadcast(counts.where(F.col("n") > most).select("host", F.ceil(F.col("n") / most).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    rows = pages.join(hot, "host", "left").select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), salts).cast("int").alias("salt"), F.lit(None).cast(FACT).alias("fact"))
+    first = facts.join(hot, "host", "left").select(
+        F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "host", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.struct("exemplars", "constant", "core").cast(FACT).alias("fact")
+    )
+    dealt = first.unionByName(rows).repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("fact").isNull())
+    return dealt.mapInArrow(run(None), schema)
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
+def main_texts(pages: DataFrame, named: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of pages (page_id, url, html); named: whether names count where wrappers can't tell."""
     scratch = Scratch(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     shapes = pages.mapInArrow(_shapes, "host string, sign long, n long, size long, h long, exemplar string")
-    shapes = shapes.groupBy("host", "sign").agg(F.sum(F.col("n") * F.col("size")).alias("weight"), F.min(F.struct("h", "exemplar")).alias("x"))
-    best = shapes.withColumn("e", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("weight"), "x.h", "sign")) - 1).where(F.col("e") < EXEMPLARS)
+    shapes = shapes.groupBy("host", "sign").agg(F.sum(F.col("n") * F.col("size")).alias("weight"), F.sum("n").alias("n"), F.min(F.struct("h", "exemplar")).alias("x"))
+    by_host = Window.partitionBy("host")
+    best = shapes.withColumns({"e": F.row_number().over(by_host.orderBy(F.desc("weight"), "x.h", "sign")) - 1, "all": F.sum("n").over(by_host)})
+    best = best.where((F.col("e") < EXEMPLARS) & (F.col("all") >= LEAST))
     exemplars = F.transform(F.array_sort(F.collect_list(F.struct("e", "x.exemplar"))), lambda x: x["exemplar"])
-    exemplars = scratch.keep(best.groupBy("host").agg(exemplars.alias("exemplars")), "exemplars")
-    counts = _by_host(pages.select("host", "html"), exemplars, "inner").mapInArrow(_agreements, "host string, e int, leaf int, pages long, same long")
-    sums = counts.groupBy("host", "e", "leaf").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    sums = sums.withColumn("fixed", (F.col("pages") >= LEAST) & (F.col("same") >= AGREE * F.col("pages")))
-    told = sums.groupBy("host", "e").agg(F.collect_list(F.when(F.col("fixed"), F.struct("e", "leaf"))).alias("constant"), F.min("fixed").alias("all")).where((F.col("e") == 0) | ~F.col("all"))
-    constant = told.groupBy("host").agg(F.flatten(F.collect_list("constant")).alias("constant"))
-    wrappers = scratch.keep(exemplars.join(constant, "host"), "wrappers")
-    return _by_host(pages, wrappers, "left").select("page_id", "url", "html", "exemplars", "constant").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    nodes = F.array().cast("array<struct<e int, node int>>")
+    exemplars = scratch.keep(best.groupBy("host").agg(exemplars.alias("exemplars")).select("host", "exemplars", nodes.alias("constant"), nodes.alias("core")), "exemplars")
+    counts = _with_facts(pages, exemplars, _agreements, "host string, e int, node int, pages long, same long, chars long")
+    sums = counts.groupBy("host", "e", "node").agg(*(F.sum(x).alias(x) for x in ("pages", "same", "chars")))
+    often = F.col("pages") >= LEAST
+    fixed = F.when(F.col("chars").isNull(), often & (F.col("same") >= AGREE * F.col("pages")))
+    node = F.struct("e", "node")
+    told = sums.withColumn("fixed", fixed).groupBy("host", "e").agg(
+        F.collect_list(F.when(F.col("fixed"), node)).alias("constant"),
+        F.coalesce(F.min("fixed"), F.lit(False)).alias("copies"),
+        F.max("chars").alias("most"),
+        F.collect_list(F.when(often & (F.col("chars") > 0), F.struct("chars", node.alias("node")))).alias("core"),
+    )
+    core = F.transform(F.filter("core", lambda x: x["chars"] >= CORE * F.col("most")), lambda x: x["node"])
+    told = told.select("host", F.when(F.col("copies"), nodes).otherwise(F.col("constant")).alias("constant"), core.alias("core"))
+    told = told.groupBy("host").agg(F.flatten(F.collect_list("constant")).alias("constant"), F.flatten(F.collect_list("core")).alias("core"))
+    wrappers = scratch.keep(exemplars.select("host", "exemplars").join(told, "host"), "wrappers")
+    return _with_facts(pages, wrappers, lambda sent: _extract(sent, named), "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
