@@ -1,17 +1,20 @@
 """Exact top-k search by the threshold algorithm (Fagin, Lotem, Naor 2003).
 
 Vectors become integers floor(64 * x). Candidates are dealt by a hash of their id into blocks of bounded size, each
-with one sorted list a dimension. A query walks the lists from the end that its sign favours: the vectors in the
-first places of every list are scored whole, which gives a k-th score; the sum over dimensions of the query's
-component times the list's value at a depth bounds every vector not seen by then; the walk goes on to the first depth
-where that bound falls below the k-th score, and ends there. Where no depth short of half the lists does, the lists
-are read out, for all such queries at once. Queries come in blocks too; every query block meets every candidate block
-once, and the blocks' k best are merged by rank.
+with one sorted list a dimension. A query walks the lists from the end that its sign favours, level by level: vectors
+met for the first time are scored whole, which raises the k-th score; the sum over dimensions of the query's component times
+the list's value at a depth bounds every vector not seen by then; the walk ends at the first level where that bound
+falls below the k-th score, be it before the first place. Where by the k-th score so far no depth short of half the
+lists can end a walk, the lists are read out, for all such queries at once.
+
+Every query meets the first block before the others, and takes the k-th score of that block along to them as the least that
+counts. Queries come in sets too; every set meets every candidate block once, and the blocks' best are merged by rank.
 
 Results: a row for each query and rank. Vectors that are null, empty or hold null, infinite or undefined components
-take no part; shorter vectors count as filled up with zeros; ties go to the smaller vec_id; rows with the same id and
-equal score are ranked one behind the other, and a query's own id is never its candidate; null ids take no part;
-empty tables give no rows; further columns are ignored.
+take no part; components and scores beyond a long's range are its largest or smallest value, and tie there; shorter
+vectors count as filled up with zeros; ties go to the smaller vec_id; rows with the same id and equal score are ranked one
+behind the other, and a query's own id is never its candidate; null ids take no part; empty tables give no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from tessera.llm.common import Scratch, table
 
 TOP, EVERY = 20, 20
 #: Rows of a candidate block and of a query block at most; candidate blocks at least (for spreading small tables).
-BLOCK, QUERIES, SPREAD = 16_384, 4_096, 24
+BLOCK, QUERIES, SPREAD = 32_768, 32_768, 24
 #: A walk begins with so many places of every list that they hold this share of the block at most, and may end at
 #: LEVELS depths.
 BEGIN, LEVELS = 1 / 8, 64
 ROW = "vec_id long, v array<long>"
+LONG = np.iinfo(np.int64)
 
 
 def _whole(batches):
@@ -44,79 +48,106 @@ def _whole(batches):
         row = np.repeat(np.arange(len(size)), size)
         bad = np.bincount(row[~np.isfinite(x)], minlength=len(size)) > 0
         keep = (size > 0) & ~bad & np.asarray(pc.is_valid(batch.column("vec_id")))
-        with np.errstate(invalid="ignore"):
-            q = np.floor(64.0 * np.where(np.isfinite(x), x, 0.0))
+        with np.errstate(over="ignore"):
+            f = np.floor(64.0 * np.where(np.isfinite(x), x, 0.0))
+        q = np.where(f >= 2.0**63, LONG.max, np.where(f <= -(2.0**63), LONG.min, np.clip(f, -(2.0**62), 2.0**62).astype(np.int64)))
+        mid = (np.abs(f) > 2.0**62) & (np.abs(f) < 2.0**63)
+        q[mid] = f[mid].astype(np.int64)
         kept = keep[row]
         at = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
-        yield pa.record_batch([batch.column("vec_id").filter(pa.array(keep)), pa.ListArray.from_arrays(pa.array(at), pa.array(q[kept].astype(np.int64)))], ["vec_id", "v"])
+        yield pa.record_batch([batch.column("vec_id").filter(pa.array(keep)), pa.ListArray.from_arrays(pa.array(at), pa.array(q[kept]))], ["vec_id", "v"])
+
+
+def _most(v: np.ndarray) -> np.ndarray:
+    """The largest size of a component, by row."""
+    return np.maximum(v.max(axis=1, initial=0).astype(float), -v.min(axis=1, initial=0).astype(float))
+
+
+def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of two sets of rows: in floats where every sum is below their precision, else in integers, and
+    in integers of any size for the rows whose sums may leave a long's range, where they stop at its ends."""
+    mv, mq, width = _most(v), _most(q), max(1, v.shape[1])
+    most = mv.max(initial=0) * mq.max(initial=0) * width
+    for kind, limit in ((np.float32, 2**24), (np.float64, 2**53)):
+        if most < limit:
+            return (v.astype(kind) @ q.astype(kind).T).astype(np.int64)
+    if most < 2**62:
+        return v @ q.T
+    out = np.zeros((len(v), len(q)), np.int64)
+    for i, j in zip(*np.nonzero(mv[:, None] * mq[None, :] * width >= 2**62), strict=True):
+        out[i, j] = min(max(sum(x * y for x, y in zip(v[i].tolist(), q[j].tolist(), strict=True)), LONG.min), LONG.max)
+    small = mv[:, None] * mq[None, :] * width < 2**62
+    for i in np.flatnonzero(small.any(axis=1)):
+        out[i, small[i]] = q[small[i]] @ v[i]
+    return out
 
 
 class Lists:
-    """A block of candidates with its sorted lists."""
+    """A block of candidates with its sorted lists. `ended` counts the walks that the threshold ended."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.v = ids[order], v[order]
-        most = float(np.abs(v).max()) if v.size else 0.0
-        self.exact32 = most * most * max(1, v.shape[1]) < 2**24
-        self.by_dim = np.argsort(self.v, axis=0, kind="stable").T  # dimension x place, rising
-        self.values = np.take_along_axis(self.v, self.by_dim.T, axis=0).T
+        self.by_dim = np.argsort(self.v, axis=0, kind="stable").T.astype(np.int32)  # dimension x place, rising
         n = len(ids)
         first = max(1, int(n * BEGIN) // max(1, v.shape[1]))
-        self.depths = np.unique(np.geomspace(first, max(n, first), LEVELS).astype(np.int64)) if n else np.zeros(0, np.int64)
-
-    def scores(self, q: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
-        """Exact inner products: in floats where every sum is below their precision, else in integers."""
-        v = self.v[rows]
-        if self.exact32 and float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * v.shape[1] < 2**24:
-            return (v.astype(np.float32) @ q.astype(np.float32).T).astype(np.int64)
-        return v @ q.T
+        self.depths = np.concatenate([[0], np.unique(np.geomspace(first, max(n, first), LEVELS).astype(np.int64))]) if n else np.zeros(0, np.int64)
+        at = np.minimum(self.depths, n - 1)
+        value = lambda place: np.take_along_axis(self.v.T, self.by_dim[:, place], axis=1).astype(float)
+        self.low, self.high = (value(at), value(n - 1 - at)) if n else (np.zeros((v.shape[1], 0)),) * 2
+        self.ended = 0
 
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each query the k best (id, score), more where they tie with the last."""
-        n, out = len(self.ids), []
-        if not n:
-            return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the k best (id, score) among those that score `least` or more."""
+        none = np.zeros(0, np.int64)
+        if not len(self.ids):
+            return [(none, none)] * len(queries)
+        n, width = self.v.shape
         # what an unseen vector may score at most, by query and depth: each list's value at the next place
-        at = np.minimum(self.depths, n - 1)
-        low, high = self.values[:, at], self.values[:, n - 1 - at]
-        bound = np.maximum(queries, 0) @ high + np.minimum(queries, 0) @ low
-        rest = []
-        for i, q in enumerate(queries):
-            out.append(None)
-            seen = self._seen(q, int(self.depths[0]))
-            s = self.scores(q[None, :], seen)[:, 0]
-            kth = self._kth(s, self.ids[seen], own[i], k)
-            end = int(np.argmax(bound[i] < kth)) if (bound[i] < kth).any() else -1
-            if end < 0 or self.depths[end] * len(q) * 2 > n:
-                rest.append(i)
-                continue
-            if end:
-                seen = self._seen(q, int(self.depths[end]))
-                s = self.scores(q[None, :], seen)[:, 0]
-            out[i] = self._best(s, seen, own[i], k)
+        q = queries.astype(float)
+        bound = np.maximum(q, 0) @ self.high + np.minimum(q, 0) @ self.low
+        bound += 1e-9 * np.abs(bound) + 1e-6  # the floats' own error
+        out, rest = [(none, none)] * len(queries), []
+        for i in range(len(queries)):
+            kth = -np.inf if least is None else float(least[i])
+            seen, scores, level = none, none, 0
+            while bound[i, level] >= kth:
+                ends = np.flatnonzero(bound[i, level:] < kth) if kth > -np.inf else None
+                if ends is not None and (not len(ends) or self.depths[level + ends[0]] * width * 2 > n) or level + 1 == len(self.depths):
+                    rest.append(i)
+                    break
+                level += 1
+                now = self._seen(queries[i], int(self.depths[level]))
+                fresh = np.setdiff1d(now, seen, assume_unique=True)
+                seen = np.concatenate([seen, fresh])
+                scores = np.concatenate([scores, products(self.v[fresh], queries[i : i + 1])[:, 0]])
+                kth = max(kth, self._kth(scores[self.ids[seen] != own[i]], k))
+            else:
+                self.ended += 1
+                out[i] = self._best(scores, seen, own[i], k, kth)
+        every = np.arange(n)
         for a in range(0, len(rest), 256):
             part = rest[a : a + 256]
-            s = self.scores(queries[part], slice(None))
-            every = np.arange(n)
+            s = products(self.v, queries[part])
             for j, i in enumerate(part):
-                out[i] = self._best(s[:, j], every, own[i], k)
+                out[i] = self._best(s[:, j], every, own[i], k, -np.inf if least is None else float(least[i]))
         return out
 
     def _seen(self, q: np.ndarray, depth: int) -> np.ndarray:
         up, down = self.by_dim[q > 0, -depth:], self.by_dim[q < 0, :depth]
-        return np.unique(np.concatenate([up.ravel(), down.ravel()]))
+        return np.unique(np.concatenate([up.ravel(), down.ravel()])).astype(np.int64)
 
     @staticmethod
-    def _kth(s: np.ndarray, ids: np.ndarray, own: int, k: int) -> float:
-        s = s[ids != own]
+    def _kth(s: np.ndarray, k: int) -> float:
         return float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else -np.inf
 
-    def _best(self, s: np.ndarray, rows: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        kth = self._kth(s, self.ids[rows], own, k)
-        keep = np.flatnonzero((s >= kth) & (self.ids[rows] != own)) if kth > -np.inf else np.flatnonzero(self.ids[rows] != own)
+    def _best(self, s: np.ndarray, rows: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.flatnonzero(s >= least) if least > -np.inf else np.arange(len(s))
+        keep = keep[self.ids[rows[keep]] != own]
+        if len(keep) > k:
+            keep = keep[s[keep] >= np.partition(s[keep], len(keep) - k)[len(keep) - k]]
         ids, s = self.ids[rows[keep]], s[keep]
-        order = np.lexsort((ids, -s))[:k]
+        order = np.lexsort((ids, -s.astype(object) if len(s) and s.min() == LONG.min else -s))[:k]
         return ids[order], s[order]
 
 
@@ -141,7 +172,8 @@ def _search(width: int, k: int):
         v = _matrix(t.column("v").chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64())), width)
         lists = Lists(ids[~query], v[~query])
         own = ids[query]
-        best = lists.top(v[query], own, k)
+        least = np.asarray(pc.fill_null(t.column("least"), LONG.min))[query]
+        best = lists.top(v[query], own, k, np.where(least == LONG.min, -np.inf, least.astype(float)))
         n = [len(x) for x, _ in best]
         none = np.zeros(0, np.int64)
         cols = [np.repeat(own, n), np.concatenate([none, *(x for x, _ in best)]), np.concatenate([none, *(s for _, s in best)])]
@@ -172,11 +204,19 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
     n, q, width = rows.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     blocks, sets = max(-(-n // BLOCK), min(SPREAD, max(1, n // 64))), max(1, -(-q // QUERIES))
     block, set_ = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(sets)).cast("int")
-    sent = rows.select(block.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("qb"), F.lit(False).alias("query"), "vec_id", "v")
-    asked = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), set_.alias("qb"), F.lit(True).alias("query"), "vec_id", "v")
-    pairs = sent.unionByName(asked).repartition("cb", "qb").sortWithinPartitions("cb", "qb")
-    found = pairs.mapInArrow(_search(width, k), "query_id long, vec_id long, score long")
+    held = rows.select(block.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("qb"), F.lit(False).alias("query"), F.lit(None).cast("long").alias("least"), "vec_id", "v")
+    queries = rows.where(is_query)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+    def meet(candidates: DataFrame, asked: DataFrame, first: int, last: int) -> DataFrame:
+        asked = asked.select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("cb"), set_.alias("qb"), F.lit(True).alias("query"), "least", "vec_id", "v")
+        pairs = candidates.unionByName(asked).repartition("cb", "qb").sortWithinPartitions("cb", "qb")
+        return pairs.mapInArrow(_search(width, k), "query_id long, vec_id long, score long")
+
+    found = scratch.keep(meet(held.where("cb = 0"), queries.withColumn("least", F.lit(None).cast("long")), 0, 0), "first")
+    if blocks > 1:
+        least = found.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        found = found.unionByName(meet(held.where("cb > 0"), queries.join(least, "vec_id", "left"), 1, blocks - 1))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -9,15 +9,19 @@ from tessera.llm import op4_topk as op
 SCHEMA = "vec_id long, embedding array<float>"
 
 
+def _long(x):
+    return min(max(x, -(2**63)), 2**63 - 1)
+
+
 def brute(rows, k=20, every=20):
     v = []
     for i, e in rows:
         if i is not None and e and all(x is not None and math.isfinite(x) for x in e):
-            v.append((i, [math.floor(64 * float(np.float32(x))) for x in e]))
+            v.append((i, [_long(math.floor(64 * int(float(np.float32(x))) if abs(x) > 1e15 else 64 * float(np.float32(x)))) for x in e]))
     out = []
     for q, e in v:
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(e, f)), i) for i, f in v if i != q)[:k]  # noqa: B905
+            scored = sorted((-_long(sum(a * b for a, b in zip(e, f))), i) for i, f in v if i != q)[:k]  # noqa: B905
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -54,10 +58,28 @@ def test_threshold_ends_before_the_lists(monkeypatch):
     walked = []
     monkeypatch.setattr(lists, "_seen", lambda q, d, f=lists._seen: walked.append(d) or f(q, d))
     got = lists.top(v[:50], np.arange(50), 20)
-    assert walked and max(walked) < 2500
+    assert lists.ended == 50 and walked and max(walked) < 2500
     for i, (ids, s) in enumerate(got):
         want = sorted((-(v[j] @ v[i]), j) for j in range(5000) if j != i)[:20]
         assert list(zip((-s).tolist(), ids.tolist(), strict=True)) == want
+    # a k-th score from elsewhere ends walks before the first place, and loses nothing that reaches it
+    walked.clear()
+    assert all(not len(ids) for ids, _ in lists.top(v[:50], np.arange(50), 20, np.full(50, 1e12))) and not walked
+    kth = np.array([s[9] for _, s in got], float)
+    for (ids, s), (few, t) in zip(got, lists.top(v[:50], np.arange(50), 20, kth), strict=True):
+        assert few.tolist()[:10] == ids.tolist()[:10] and set(t[t >= s[9]]) == set(s[s >= s[9]])
+
+
+def test_huge_components(spark):
+    big = [3.4e38, -3.4e38, 2.0**58, 2.0**57, -(2.0**57), 2.0**40, 2.0**31, 1.0, -1.0, 0.0]
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.choice(big, 3)]) for i in range(200)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, True, 9) for i in range(30)], SCHEMA + ", cb int, qb int, query boolean, least long")
+    assert sorted(tuple(r) for r in op.top_k(df).collect()) == brute([(i, [float(i), 1.0]) for i in range(30)])
 
 
 @pytest.mark.parametrize("sf", ["sf0.01"])
