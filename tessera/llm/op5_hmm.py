@@ -7,9 +7,10 @@ tables have a fixed size whatever the vocabulary. A word of a bucket has the buc
 So every state's emissions sum to 1 over the known words and one unknown word a bucket.
 
 STATES states start from frequent words that rarely share documents, and Baum-Welch fits them: each round computes
-expected counts by forward-backward on every training document (cut into segments of SEGMENT symbols, which bounds a
-chain's arrays), sums them per symbol across partitions, and renews the tables. The exact likelihood of a whole text
-is the scaled forward recursion over all its symbols. Counts of the KNOWN commonest words (a bound on what is sent)
+expected counts by forward-backward on every whole training document, sums them per symbol across partitions, and renews
+the tables. The exact likelihood of a whole text is the scaled forward recursion over all its symbols. Both go over the
+documents of a step side by side, PIECE symbols at a time: the backward pass computes a piece's forward variables again from
+the state at its beginning, so that a text's length costs two bytes a symbol and no more. Counts of the KNOWN commonest words (a bound on what is sent)
 are looked up where the text is read; those of the other words are joined.
 
 Documents whose crc32(doc_id as text) mod 7 is 2 are held out.
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, fold, hash64, mix, steps, table, words
 
-STATES, ROUNDS, SEGMENT = 8, 3, 256
+STATES, ROUNDS = 8, 3
 OWN, BUCKETS, KNOWN = 1 << 15, 1 << 12, 1 << 20
 END = OWN + BUCKETS
 SYMBOLS = END + 1
-#: Frequent words whose company in documents the states start from; symbols that one step of a worker holds.
-ANCHORS, STEP = 128, 400_000
+#: Frequent words whose company in documents the states start from; symbols that one step of a worker holds, and of which it
+#: has variables at a time.
+ANCHORS, STEP, PIECE = 128, 3_000_000, 1 << 17
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,80 +155,109 @@ class Chains:
     def __init__(self, chains: list[np.ndarray]):
         size = np.array([len(c) for c in chains], np.int64)
         self.order = np.argsort(-size, kind="stable")
-        size = size[self.order]
-        flat = np.concatenate([chains[i] for i in self.order]) if len(chains) else np.zeros(0, np.uint16)
-        self.live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
-        self.place = np.concatenate([[0], np.cumsum(self.live)])
-        rank = np.repeat(np.arange(len(size)), size)
-        t = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        self.symbols = np.empty(len(flat), np.int64)
-        self.symbols[self.place[t] + rank] = flat
-        self.sizes = size
-
-    def forward(self, m: Hmm, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward variables of every symbol, and the scales."""
+        self.sizes = size = size[self.order]
+        live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
+        place = np.concatenate([[0], np.cumsum(live)])
+        self.symbols = np.empty(int(place[-1]), np.uint16)
+        for rank, i in enumerate(self.order.tolist()):
+            self.symbols[place[: len(chains[i])] + rank] = chains[i]
+        # pieces of whole time steps, PIECE symbols or one step each
+        self.live, self.place, self.cuts = live.tolist(), place.tolist(), [0]
+        while self.cuts[-1] < len(live):
+            at = self.cuts[-1]
+            self.cuts.append(max(at + 1, int(np.searchsorted(place, place[at] + PIECE, side="right")) - 1))
+
+    def emissions(self, m: Hmm, piece: int, kind) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of a piece and what the states emit there."""
+        s = self.symbols[self.place[self.cuts[piece]] : self.place[self.cuts[piece + 1]]].astype(np.int64)
+        return s, m.emit.astype(kind)[s] if kind is np.float64 else self.emit32(m)[s]
+
+    def emit32(self, m: Hmm) -> np.ndarray:
+        if getattr(self, "_emit32", None) is None:
+            self._emit32 = m.emit.astype(np.float32)
+        return self._emit32
+
+    def forward(self, m: Hmm, emit: np.ndarray, piece: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward variables of a piece, the scales, and the variables of its last step."""
         alpha, scale = np.empty_like(emit), np.empty(len(emit), emit.dtype)
-        step, place = m.step.astype(emit.dtype), self.place.tolist()
-        before = None
-        for t, n in enumerate(self.live.tolist()):
-            lo, hi = place[t], place[t] + n
-            a = (m.start.astype(emit.dtype) if before is None else before[:n] @ step) * emit[lo:hi]
+        start, step, place, live = m.start.astype(emit.dtype), m.step.astype(emit.dtype), self.place, self.live
+        base = place[self.cuts[piece]]
+        for t in range(self.cuts[piece], self.cuts[piece + 1]):
+            lo, n = place[t] - base, live[t]
+            a = (start if before is None else before[:n] @ step) * emit[lo : lo + n]
             s = a.sum(axis=1)
             a /= s[:, None]
-            alpha[lo:hi], scale[lo:hi] = a, s
+            alpha[lo : lo + n], scale[lo : lo + n] = a, s
             before = a
-        return alpha, scale
+        return alpha, scale, before
 
     def log10(self, m: Hmm) -> np.ndarray:
         """log10 likelihood of each chain, in the order given."""
-        _, scale = self.forward(m, m.emit[self.symbols])
-        out = np.zeros(len(self.sizes))
-        log = np.log10(scale)
-        place = self.place.tolist()
-        for t, n in enumerate(self.live.tolist()):
-            out[:n] += log[place[t] : place[t] + n]
+        out, before = np.zeros(len(self.sizes)), None
+        for piece in range(len(self.cuts) - 1):
+            _, emit = self.emissions(m, piece, np.float64)
+            _, scale, before = self.forward(m, emit, piece, before)
+            log, base = np.log10(scale), self.place[self.cuts[piece]]
+            for t in range(self.cuts[piece], self.cuts[piece + 1]):
+                out[: self.live[t]] += log[self.place[t] - base : self.place[t + 1] - base]
         back = np.empty(len(out))
         back[self.order] = out
         return back
 
-    def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected first states, state pairs, and state of every symbol."""
-        emit = m.emit.astype(np.float32)[self.symbols]
-        alpha, scale = self.forward(m, emit)
-        step, place, live = m.step.astype(np.float32), self.place.tolist(), self.live.tolist()
-        pairs = np.zeros(step.shape)
-        gamma = alpha
-        beta = None
-        for t in range(len(live) - 1, -1, -1):
-            lo, n = place[t], live[t]
-            if beta is not None:
-                nlo, k = place[t + 1], live[t + 1]
-                b = emit[nlo : nlo + k] * beta / scale[nlo : nlo + k, None]
-                pairs += (alpha[lo : lo + k].T @ b) * step
-                now = np.ones((n, step.shape[0]), np.float32)
-                now[:k] = b @ step.T
-            else:
-                now = np.ones((n, step.shape[0]), np.float32)
-            # the pairs of the next step down still need alpha there, which lies before lo
-            gamma[lo : lo + n] = alpha[lo : lo + n] * now
-            beta = now
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        first = gamma[: live[0]].sum(axis=0) if live else np.zeros(step.shape[0])
-        return first, pairs, gamma
+    def expected(self, m: Hmm, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected first states and state pairs; adds the expected states of every symbol to `emissions` (state x symbol)."""
+        step, place, live = m.step.astype(np.float32), self.place, self.live
+        first, pairs = np.zeros(len(step)), np.zeros(step.shape)
+        entry = [None]
+        for piece in range(len(self.cuts) - 2):
+            entry.append(self.forward(m, self.emissions(m, piece, np.float32)[1], piece, entry[-1])[2])
+        behind = None  # emission times backward variable over scale, of the step behind
+        for piece in range(len(self.cuts) - 2, -1, -1):
+            symbols, emit = self.emissions(m, piece, np.float32)
+            alpha, scale, _ = self.forward(m, emit, piece, entry[piece])
+            base = place[self.cuts[piece]]
+            for t in range(self.cuts[piece + 1] - 1, self.cuts[piece] - 1, -1):
+                lo, n = place[t] - base, live[t]
+                now = np.ones((n, len(step)), np.float32)
+                if behind is not None:
+                    k = len(behind)
+                    pairs += alpha[lo : lo + k].T @ behind
+                    now[:k] = behind @ step.T
+                behind = emit[lo : lo + n] * now / scale[lo : lo + n, None]
+                alpha[lo : lo + n] *= now
+            alpha /= alpha.sum(axis=1, keepdims=True)
+            for k in range(len(step)):
+                emissions[k] += np.bincount(symbols, alpha[:, k], emissions.shape[1])
+            if not piece:
+                first = alpha[: live[0]].sum(axis=0).astype(float)
+        return first, pairs * step
 
 
 def _held(batches, most: int = STEP):
-    """Lists of symbol arrays of about `most` symbols, with the rows they came from."""
+    """Lists of symbol arrays of about `most` symbols, with the rows they came from; a longer text makes a list of its own."""
+
+    def joined(parts: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()
+        for part in t:
+            yield part, [np.frombuffer(x.as_buffer(), "<u2") for x in part.column("symbols")]
+
+    held, n = [], 0
     for batch in batches:
         size = np.asarray(pc.binary_length(batch.column("symbols"))).astype(np.int64) // 2
         ends = np.cumsum(size)
         start = 0
         while start < len(size):
             before = ends[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-            part = batch.slice(start, end - start)
-            yield part, [np.frombuffer(x.as_py(), "<u2") for x in part.column("symbols")]
+            end = max(start + (not held), int(np.searchsorted(ends, before + most - n, side="right")))
+            if end > start:
+                held.append(batch.slice(start, end - start))
+                n += int(ends[end - 1] - before)
+            if end < len(size) or n >= most:
+                yield from joined(held)
+                held, n = [], 0
             start = end
+    if held:
+        yield from joined(held)
 
 
 GAMMA = "kind int, s int, " + ", ".join(f"g{k} double" for k in range(STATES))
@@ -239,12 +270,8 @@ def _expect(model):
         m = model.value
         emissions, pairs, first = np.zeros((STATES, SYMBOLS)), np.zeros((STATES, STATES)), np.zeros(STATES)
         for _, docs in _held(batches):
-            cut = [d[i : i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
-            chains = Chains(cut)
-            f, p, gamma = chains.expected(m)
+            f, p = Chains(docs).expected(m, emissions)
             first, pairs = first + f, pairs + p
-            for k in range(STATES):
-                emissions[k] += np.bincount(chains.symbols, gamma[:, k], SYMBOLS)
         some = np.flatnonzero(emissions.sum(axis=0) > 0)
         rows = [(np.zeros(len(some), int), some, emissions[:, some].T), (np.ones(STATES, int), np.arange(STATES), pairs), (np.full(1, 2), np.zeros(1, int), first[None, :])]
         for kind, s, g in rows:
@@ -315,7 +342,7 @@ def train(symbols: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Hmm:
 def _score(model):
     def run(batches):
         m = model.value
-        for part, docs in _held(batches, 2 * STEP):
+        for part, docs in _held(batches):
             keep = [c for c in part.schema.names if c != "symbols"]
             yield pa.record_batch([*(part.column(c) for c in keep), pa.array(Chains(docs).log10(m))], [*keep, "chain"])
 
