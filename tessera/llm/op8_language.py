@@ -8,18 +8,25 @@ measured: their likelihoods are smoothed shares of the text posteriors that go w
 smoothed share of its other rows' posteriors, shrunk towards its registered domain's, which is shrunk towards the
 corpus's; all three come from grouped sums. A page's text is its main text (see op2), a document's host is its source.
 
+Every language that a document bears is told apart; the model takes 128 KB for each. What hosts, declarations and
+suffixes say is sent to all executors below SENT_BYTES, else joined by a shuffle, which rows without such a key don't
+take part in.
+
 Results: a row per document (doc_id) and per page (page_id): lang, confidence, text_lang (by text alone; null without
 text), declared, host, held_out. Missing evidence of any kind counts as none: null, empty and foreign texts get what
 the rest says, in the end the corpus's commonest language. Without any labelled document lang is null. Ties go to the
-first language in order; languages beyond the LANGUAGES commonest aren't told apart; repeated rows are treated alike;
-empty tables give no rows; further columns are ignored.
+first language in order; repeated rows are treated alike; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +34,9 @@ from tessera.llm.common import Scratch, fold, mix, steps, table
 from tessera.llm.html import parse
 from tessera.llm.op2_wrappers import blocks, host_of
 
-LANGUAGES, CODES, TRUSTED = 256, 1 << 14, 200
+CODES, TRUSTED = 1 << 14, 200
+#: Languages of which a worker holds counts; bytes of facts that are sent to all executors at most.
+HELD, SENT_BYTES = 64, 16 << 20
 #: Pseudo-counts of the parent in a child's prior, and of the whole in a likelihood.
 SHRINK, SMOOTH = 5.0, 10.0
 
@@ -56,31 +65,42 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[own[:-2]], np.concatenate([[0], np.cumsum(size)])
 
 
-def _count(languages: list[str]):
-    index = {x: i for i, x in enumerate(languages)}
+def _count(batches):
+    """Trigrams of each language."""
 
-    def run(batches):
-        n = np.zeros(len(languages) * CODES, np.int64)
-        for batch in batches:
-            for part in steps(batch):
-                code, at = trigrams(part.column("text"))
-                lang = np.array([index[x] for x in part.column("lang").to_pylist()], np.int64)
-                n += np.bincount(np.repeat(lang, np.diff(at)) * CODES + code, minlength=len(n))
-        some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array((some // CODES).astype(np.int32)), pa.array((some % CODES).astype(np.int32)), pa.array(n[some])], ["l", "code", "n"])
+    def counted():
+        for lang, n in held.items():
+            some = np.flatnonzero(n)
+            yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "code", "n"])
 
-    return run
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for part in steps(batch):
+            code, at = trigrams(part.column("text"))
+            langs = part.column("lang").dictionary_encode()
+            of = np.repeat(np.asarray(langs.indices), np.diff(at))
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                if lang not in held and len(held) >= HELD:
+                    yield from counted()
+                    held.clear()
+                n = held.setdefault(lang, np.zeros(CODES, np.int64))
+                n += np.bincount(code[of == i], minlength=CODES)
+    yield from counted()
 
 
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities of trigrams (language x code)."""
     known = docs.where("lang is not null")
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in common)
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     counts = np.zeros((len(languages), CODES))
     if languages:
-        sums = known.where(F.col("lang").isin(languages)).select("text", "lang").mapInArrow(_count(languages), "l int, code int, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toArrow()
-        counts[sums.column("l").to_numpy(), sums.column("code").to_numpy()] = sums.column("n").to_numpy()
+        index = {x: i for i, x in enumerate(languages)}
+        sums = known.select("text", "lang").mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+        names = sums.column("lang").combine_chunks().dictionary_encode()
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        rows = np.array([index[x] for x in names.dictionary.to_pylist()], np.int64)
+        if len(rows):
+            counts[rows[np.asarray(names.indices)], sums.column("code").to_numpy()] = sums.column("n").to_numpy()
     whole = counts.sum(axis=0) + 1
     counts += 100 * whole / whole.sum()
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -129,8 +149,28 @@ def _evidence(model):
     return run
 
 
-def _row(cols: list[Column]) -> Column:
-    return F.array(*cols)
+def _fixed(values: list, kind: str) -> Column:
+    """An array constant of any length."""
+    return F.from_json(F.lit(json.dumps(values)), F.lit(f"array<{kind}>"))
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+
+
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of the text posteriors t by key."""
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("t"))).alias("s"))
+
+
+def _look_up(rows: DataFrame, facts: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """rows with the facts of their keys, null where there are none."""
+    if facts.count() * (width + 8) * 8 <= SENT_BYTES:
+        return rows.join(F.broadcast(facts), keys, "left")
+    has = F.col(keys[0]).isNotNull()
+    found = rows.where(has).join(facts.hint("merge"), keys, "left")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in facts.schema if f.name not in keys}
+    return found.unionByName(rows.where(~has).withColumns(none))
 
 
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -154,45 +194,39 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     if not languages:
         return rows.select(*blank)
 
-    # posteriors by text alone, t0 .. tn, which sum to 1, or to 0 without text
-    ps = [f"t{i}" for i in range(n)]
-    e = [F.exp(F.get("ll", F.lit(i))) for i in range(n)]
-    rows = rows.withColumn("total", sum(e, F.lit(0.0))).withColumns({p: F.coalesce(x / F.col("total"), F.lit(0.0)) for p, x in zip(ps, e, strict=True)})
-    sums = lambda prefix: [F.sum(p).alias(f"{prefix}{i}") for i, p in enumerate(ps)]
-    whole = np.array(rows.agg(*sums("g")).first(), float) if rows.head(1) else np.zeros(n)
-    whole = np.where(np.array([x is None for x in whole]), 0, whole).astype(float)
-    prior = (whole + 1) / (whole.sum() + n)
+    # posteriors by text alone, which sum to 1, or to 0 without text
+    zeros = _fixed([0.0] * n, "double")
+    e = F.transform("ll", F.exp)
+    rows = rows.withColumn("t", F.coalesce(F.transform(e, lambda x: x / _total(e)), zeros))
+    whole = np.array(_sums(rows).first().s) if rows.head(1) else np.zeros(n)
+    prior = ((whole + 1) / (whole.sum() + n)).tolist()
+    p0 = _fixed(prior, "double")
 
     def likelihood(key: str) -> DataFrame:
         """log P(key | language) by key, relative to log P(key)."""
-        by = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*sums("s"))
-        every = sum((F.col(f"s{i}") for i in range(n)), F.lit(0.0))
-        logs = [F.log((F.col(f"s{i}") + SMOOTH * float(prior[i])) / (float(prior[i]) * (every + SMOOTH))) for i in range(n)]
-        return scratch.keep(by.select(key, _row(logs).alias(f"{key}_log")), f"by-{key}")
-
-    domains = rows.where("domain is not null").groupBy("domain").agg(*sums("d"))
-    hosts = rows.where("host is not null").groupBy("host", "domain").agg(*sums("h"))
-    facts = hosts.join(domains, "domain", "left")
-    d = [F.coalesce(F.col(f"d{i}"), F.lit(0.0)) for i in range(n)]
-    from_domain = [(d[i] + SHRINK * float(prior[i])) / (sum(d, F.lit(0.0)) + SHRINK) for i in range(n)]
-    facts = scratch.keep(facts.select("host", F.coalesce("domain", F.lit("")).alias("of"), _row([F.col(f"h{i}") for i in range(n)]).alias("h"), _row(from_domain).alias("p")), "hosts")
+        every = _total(F.col("s"))
+        logs = F.zip_with("s", p0, lambda s, p: F.log((s + SMOOTH * p) / (p * (every + SMOOTH))))
+        return scratch.keep(_sums(rows.where(F.col(key).isNotNull()), key).select(key, logs.alias(f"{key}_log")), f"by-{key}")
+
+    domains = _sums(rows.where("domain is not null"), "domain").withColumnRenamed("s", "d")
+    hosts = _sums(rows.where("host is not null"), "host", "domain").withColumnRenamed("s", "h")
+    from_domain = F.zip_with(F.coalesce("d", zeros), p0, lambda d, p: (d + SHRINK * p) / (_total(F.coalesce("d", zeros)) + SHRINK))
+    facts = scratch.keep(_look_up(hosts, domains, ["domain"], n).select("host", F.coalesce("domain", F.lit("")).alias("of"), "h", from_domain.alias("p")), "hosts")
     rows = rows.withColumn("of", F.coalesce("domain", F.lit("")))
-    rows = rows.join(facts, ["host", "of"], "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
-
-    zero = F.lit(0.0)
-    others = [F.greatest(F.get("h", F.lit(i)) - F.col(ps[i]), zero) for i in range(n)]
-    seen = sum(others, zero)
-    score = [
-        F.coalesce(F.get("ll", F.lit(i)), zero)
-        + F.coalesce(F.get("declared_log", F.lit(i)), zero)
-        + F.coalesce(F.get("suffix_log", F.lit(i)), zero)
-        + F.log(F.coalesce((others[i] + SHRINK * F.get("p", F.lit(i))) / (seen + SHRINK), F.lit(float(prior[i]))))
-        for i in range(n)
-    ]
-    scored = rows.withColumn("score", _row(score))
-    names = _row([F.lit(x) for x in languages])
+    rows = _look_up(rows, facts, ["host", "of"], 2 * n)
+    for key in ("declared", "suffix"):
+        rows = _look_up(rows, likelihood(key), [key], n)
+
+    others = F.zip_with(F.coalesce("h", zeros), "t", lambda h, t: F.greatest(h - t, F.lit(0.0)))
+    rows = rows.withColumns({"others": others, "p": F.coalesce("p", p0)}).withColumn("seen", _total(F.col("others")))
+    parts = [F.coalesce(c, zeros) for c in ("ll", "declared_log", "suffix_log")]
+    score = F.zip_with("others", "p", lambda o, p: F.log((o + SHRINK * p) / (F.col("seen") + SHRINK)))
+    for part in parts:
+        score = F.zip_with(score, part, lambda a, b: a + b)
+    scored = rows.withColumn("score", score).withColumn("top", F.array_max("score"))
+    names = _fixed(languages, "string")
     best = lambda x: F.get(names, (F.array_position(x, F.array_max(x)) - 1).cast("int"))
-    confidence = 1 / F.aggregate("score", zero, lambda a, x: a + F.exp(x - F.array_max("score")))
+    confidence = 1 / _total(F.transform("score", lambda x: F.exp(x - F.col("top"))))
     return scored.select("doc_id", "page_id", best(F.col("score")).alias("lang"), confidence.alias("confidence"), best(F.col("ll")).alias("text_lang"), "declared", "host", "held_out")
 
 
