@@ -4,8 +4,9 @@ Every line that isn't blank gets features of itself and of the lines before and
 digits and repeated words, word lengths, endings, as soft steps). A two-label chain (good, bad) is fitted by gradient
 ascent on the likelihood of labelled documents, whose lines all bear the document's label. Forward-backward marginals
 of a document's lines, weighted by line length, give its share of good text, and a logistic curve fitted on the same
-documents turns the share into the probability of label 1. The fit takes TRAIN_DOCS labelled documents at most
-(chosen by a hash of the id; their features, not their texts, go to the driver); scores cover every whole text.
+documents turns the share into the probability of label 1. The fit takes TRAIN_DOCS labelled documents of TRAIN_LINES
+lines together at most (in the order of a hash of the id; one that would exceed the lines is passed over, and of copies one
+counts); their features, not their texts, go to the driver. Scores cover every whole text.
 
 Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0. Labels, lang, source and doc_id are no inputs
 of a score.
@@ -26,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, hash64, steps, table, words
+from tessera.llm.common import Scratch, fold, hash64, steps, table, words
 
-#: Labelled documents that the fit takes at most, and steps of gradient ascent.
-TRAIN_DOCS, ROUNDS = 4000, 150
+#: Labelled documents and lines that the fit takes at most, and steps of gradient ascent.
+TRAIN_DOCS, TRAIN_LINES, ROUNDS = 4000, 100_000, 150
 CUT = 0.3
 #: Kinds of bytes: capital, small letter, digit, blank, sentence sign, other sign, other byte.
 _KIND = np.full(256, 6, np.uint8)
@@ -231,15 +232,24 @@ def _line_features(batches):
             x = features(lines)
             size = np.asarray(pc.binary_length(lines)).astype("<i8")
             rows = [(x[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([part.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["label", "x", "size"])
+            yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "label", "x", "size"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Model:
     known = labels.where("doc_id is not null and quality is not null").where(fold("doc_id", 5) != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(_line_features, "label int, x binary, size binary").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_line_features, "doc_id long, label int, x binary, size binary")
+    rows = Scratch(docs.sparkSession).keep(rows.withColumn("copy", F.xxhash64("x", "size")).withColumn("n", F.length("size") / 8), "features")
+    sizes = rows.groupBy("doc_id", "copy").agg(F.max("n").cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "copy").limit(most).collect()
+    taken, total = [], 0
+    for r in sizes:
+        if total + r.n <= most_lines:
+            taken.append((r.doc_id, r.copy))
+            total += r.n
+    kept = docs.sparkSession.createDataFrame(taken, "doc_id long, copy long")
+    rows = rows.join(F.broadcast(kept), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select("label", "x", "size").collect()
     rows = sorted(rows, key=lambda r: (r.label, r.x))
     x = np.concatenate([np.zeros((0, WIDTH), np.float32), *(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows)])
     size = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(r.size, "<i8") for r in rows)])
