@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose content is no markup, and of which nothing is read.
@@ -54,7 +53,7 @@ def parse(page: str) -> Node:
     white space made one blank, trimmed; `linked` counts its characters inside links."""
     root = Node("#root")
     stack, run, in_links, linked = [root], [], 0, 0
-    opened: Counter[str] = Counter()
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal run, linked
@@ -66,7 +65,8 @@ def parse(page: str) -> Node:
 
     def close(upto: int) -> None:
         flush()
-        opened.subtract(x.tag for x in stack[upto:])
+        for x in stack[upto:]:
+            opened[x.tag] -= 1
         del stack[upto:]
 
     at, n = 0, len(page)
@@ -87,7 +87,7 @@ def parse(page: str) -> Node:
             if tag in INLINE:
                 in_links = 0 if tag == "a" else in_links
             elif tag not in VOID:
-                for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
+                for i in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                     if stack[i].tag == tag:
                         close(i)
                         break
@@ -109,7 +109,7 @@ def parse(page: str) -> Node:
                     continue
                 if tag in ENDS:
                     ends, scope = ENDS[tag]
-                    for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
+                    for i in range(len(stack) - 1, 0, -1) if any(map(opened.get, ends)) else ():
                         if stack[i].tag in scope:
                             break
                         if stack[i].tag in ends:
@@ -117,7 +117,7 @@ def parse(page: str) -> Node:
                             if tag not in ("tr", "tbody"):
                                 break
                 else:
-                    for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
+                    for i in range(len(stack) - 1, 0, -1) if opened.get("p") else ():
                         if stack[i].tag in SCOPE:
                             break
                         if stack[i].tag == "p":
@@ -126,7 +126,7 @@ def parse(page: str) -> Node:
                 node = Node(tag, attributes(m["attrs"]))
                 stack[min(len(stack), DEPTH) - 1].children.append(node)
                 stack.append(node)
-                opened[tag] += 1
+                opened[tag] = opened.get(tag, 0) + 1
     flush()
     return root
 

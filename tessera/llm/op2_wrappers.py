@@ -164,14 +164,21 @@ def _shape(node: Node, known: dict[int, tuple]) -> tuple[int, int, list[Node]]:
     return known[id(node)]
 
 
-def _align(a: Node, b: Node, ka: dict, kb: dict) -> tuple[int, list[tuple[Node, Node]]]:
+#: Paired nodes; True for all nodes of two trees of one shape.
+Pairs = list[tuple[Node, Node, bool]]
+
+
+def _equal(ta: list[Node], tb: list[Node]) -> int:
+    return ta[0].text == tb[0].text if len(ta) == 1 else sum(p.text == q.text for p, q in zip(ta, tb, strict=True))
+
+
+def _align(a: Node, b: Node, ka: dict, kb: dict) -> tuple[int, Pairs]:
     """The best ordered matching of two trees of equal labels: most nodes, then most equal texts."""
     (sa, size, ta), (sb, _, tb) = _shape(a, ka), _shape(b, kb)
     if sa == sb:  # all nodes pair in one way only
-        equal = sum(p.text == q.text for p, q in zip(ta, tb, strict=True))
-        return size * NODE + equal, list(zip(preorder(a), preorder(b), strict=True)) if a.children else [(a, b)]
+        return size * NODE + _equal(ta, tb), [(a, b, True)]
     total, pairs = _lists(a.children, b.children, ka, kb)
-    return NODE + total, [(a, b), *pairs]
+    return NODE + total, [(a, b, False), *pairs]
 
 
 def _same(p: Node, q: Node, ka: dict, kb: dict) -> bool:
@@ -179,7 +186,7 @@ def _same(p: Node, q: Node, ka: dict, kb: dict) -> bool:
     return x[0] == y[0] and all(t.text == u.text for t, u in zip(x[2], y[2], strict=True))
 
 
-def _lists(x: list[Node], y: list[Node], ka: dict, kb: dict) -> tuple[int, list[tuple[Node, Node]]]:
+def _lists(x: list[Node], y: list[Node], ka: dict, kb: dict) -> tuple[int, Pairs]:
     """The best ordered matching of two lists. Equal ends are in one of the best; long rests are halved (Hirschberg 1975)."""
     total, head, tail = 0, [], []
     i, j = 0, 0
@@ -224,37 +231,58 @@ def _row(x: list[Node], y: list[Node], ka: dict, kb: dict) -> np.ndarray:
     return row
 
 
-def _table(x: list[Node], y: list[Node], ka: dict, kb: dict) -> tuple[int, list[tuple[Node, Node]]]:
-    pairs: list[tuple[Node, Node]] = []
-    lx, ly = [c.label for c in x], [c.label for c in y]
-    got = {}
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+def _table(x: list[Node], y: list[Node], ka: dict, kb: dict) -> tuple[int, Pairs]:
+    shapes = [(*_shape(q, kb), q) for q in y]
+    got: dict[tuple[int, int], tuple[int, Pairs | None]] = {}
+    best = [[0] * (len(y) + 1)]
     for i, p in enumerate(x, 1):
-        row, above = best[i], best[i - 1]
-        for j, q in enumerate(y, 1):
-            v = above[j] if above[j] >= row[j - 1] else row[j - 1]
-            if lx[i - 1] == ly[j - 1]:
-                got[i, j] = _align(p, q, ka, kb)
-                if above[j - 1] + got[i, j][0] > v:
-                    v = above[j - 1] + got[i, j][0]
-            row[j] = v
+        above, row, left = best[-1], [0], 0
+        shape, size, texts = _shape(p, ka)
+        whole, label = size * NODE, p.label
+        for j, (other, _, tq, q) in enumerate(shapes, 1):
+            if above[j] > left:
+                left = above[j]
+            if shape == other:
+                s = whole + _equal(texts, tq)
+                pairs = None
+            elif label == q.label:
+                s, pairs = _align(p, q, ka, kb)
+            else:
+                row.append(left)
+                continue
+            if above[j - 1] + s > left:
+                left = above[j - 1] + s
+                got[i, j] = s, pairs
+            row.append(left)
+        best.append(row)
+    out: Pairs = []
     i, j = len(x), len(y)
     while i and j:
         if (i, j) in got and best[i][j] == best[i - 1][j - 1] + got[i, j][0]:
-            pairs += got[i, j][1]
+            pairs = got[i, j][1]
+            out += [(x[i - 1], y[j - 1], True)] if pairs is None else pairs
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return best[len(x)][len(y)], pairs
+    return best[len(x)][len(y)], out
 
 
 def match(a: Node, b: Node, known: dict | None = None) -> tuple[int, list[tuple[Node, Node]]]:
     """Size of the best ordered matching of two trees of equal labels, and the nodes it pairs, equal texts where it can;
     known: shapes of a's nodes."""
     total, pairs = _align(a, b, {} if known is None else known, {})
-    return total // NODE, pairs
+    out = []
+    for p, q, whole in pairs:
+        if whole and p.children:
+            out += zip(preorder(p), preorder(q), strict=True)
+        else:
+            out.append((p, q))
+    return total // NODE, out
+
+
+_PATHS: dict[tuple[int, str], int] = {}
 
 
 def paths(root: Node) -> frozenset[int]:
@@ -262,9 +290,14 @@ def paths(root: Node) -> frozenset[int]:
     out, todo = set(), [(root, 0)]
     while todo:
         x, above = todo.pop()
-        h = xxhash.xxh3_64_intdigest(f"{above} {x.label}")
+        h = _PATHS.get((above, x.label))
+        if h is None:
+            if len(_PATHS) > 1 << 16:
+                _PATHS.clear()
+            h = _PATHS[above, x.label] = xxhash.xxh3_64_intdigest(f"{above} {x.label}")
         out.add(h)
-        todo += [(c, h) for c in x.children]
+        if x.children:
+            todo += [(c, h) for c in x.children]
     return frozenset(out)
 
 
