@@ -1,14 +1,24 @@
-"""Pairwise string similarities, and one Arrow function that computes all of a pair's at once."""
+"""Pairwise string similarities, and an Arrow function that computes those of a pair that are asked for."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _codes(a: str, b: str) -> tuple[bytes, bytes] | None:
+    """The texts with one byte a character, none of them 0; None if they have too many different ones."""
+    if a.isascii() and b.isascii() and "\0" not in a and "\0" not in b:
+        return a.encode(), b.encode()
+    known = {c: i for i, c in enumerate(dict.fromkeys(a + b), 1)}
+    return (bytes(map(known.get, a)), bytes(map(known.get, b))) if len(known) < 256 else None
+
+
 def jaro_winkler(a: str, b: str) -> float:
     """Jaro's similarity, raised by up to four common first letters where it exceeds 0.7 (Winkler 1990)."""
     if a == b:
@@ -17,24 +27,29 @@ def jaro_winkler(a: str, b: str) -> float:
     if not m or not n:
         return 0.0
     reach = max(0, max(m, n) // 2 - 1)
-    taken = [False] * n
-    left = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(n, i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                left.append(c)
-                break
+    x, y = _codes(a, b) or (a, b)
+    rest, free = (bytearray(y), 0) if isinstance(y, bytes) else (list(y), None)  # taken characters become `free`
+    left, taken = [], []
+    for i, c in enumerate(x):
+        lo = i - reach if i > reach else 0
+        if free is None:
+            j = next((j for j in range(lo, min(n, i + reach + 1)) if rest[j] == c), -1)
+        else:
+            j = rest.find(c, lo, i + reach + 1)
+        if j >= 0:
+            rest[j] = free
+            left.append(c)
+            taken.append(j)
     k = len(left)
     if not k:
         return 0.0
-    right = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
+    taken.sort()
+    swaps = sum(c != y[j] for c, j in zip(left, taken, strict=True)) // 2
     s = (k / m + k / n + (k - swaps) / k) / 3
     if s > 0.7:
         same = 0
-        for x, y in zip(a[:4], b[:4], strict=False):
-            if x != y:
+        for c, d in zip(a[:4], b[:4], strict=False):
+            if c != d:
                 break
             same += 1
         s += 0.1 * same * (1 - s)
@@ -115,55 +130,57 @@ def doubles(names: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
 
-KERNELS = ("jw_root", "sort_root", "set_root", "partial_root", "qratio_root", "jw_soundex", "jw_addr", "sort_addr", "set_addr", "core_addr_sort", "core_addr_set")
-KERNEL_TYPE = doubles(KERNELS)
+# Each kernel: its function, the text it compares, and its value where a side is empty.
+KERNELS = {
+    "jw_root": (jaro_winkler, "name_root", 0.0),
+    "sort_root": (token_sort, "name_root", 0.0),
+    "set_root": (token_set, "name_root", 0.0),
+    "partial_root": (partial, "name_root", 0.0),
+    "qratio_root": (ratio, "name_root", 0.0),
+    "jw_soundex": (jaro_winkler, "soundex_first", 0.0),
+    "jw_addr": (jaro_winkler, "addr_std", 0.4),
+    "sort_addr": (token_sort, "addr_std", 0.4),
+    "set_addr": (token_set, "addr_std", 0.4),
+    "core_addr_sort": (token_sort, "addr_core", 0.4),
+    "core_addr_set": (token_set, "addr_core", 0.4),
+}
+KERNELS_B = {
+    "name_ratio": (ratio, "clean_name", 0.0),
+    "name_token_set": (token_set, "clean_name", 0.0),
+    "name_token_sort": (token_sort, "clean_name", 0.0),
+    "name_partial": (partial, "clean_name", 0.0),
+    "name_jw": (jaro_winkler, "clean_name", 0.0),
+    "addr_ratio": (ratio, "clean_full_address", 0.0),
+    "addr_token_set": (token_set, "clean_full_address", 0.0),
+    "addr_jw": (jaro_winkler, "clean_full_address", 0.0),
+}
+#: Pairs of texts whose similarity a worker remembers, by function.
+REMEMBERED = 200_000
+_REMEMBERING: dict = {}
 
 
 def _memo(f):
-    return lru_cache(200_000)(f)
-
-
-@F.pandas_udf(KERNEL_TYPE)
-def kernels(r1: pd.Series, r2: pd.Series, x1: pd.Series, x2: pd.Series, a1: pd.Series, a2: pd.Series, c1: pd.Series, c2: pd.Series) -> pd.DataFrame:
-    """The Python similarities of a pair: roots, sound codes, addresses, address cores. A pair of texts that comes again
-    in a batch is not computed again. A side that is empty gives 0, for addresses 0.4."""
-
-    def over(f, a, b, default):
-        g = _memo(f)
-        return [g(x, y) if x and y else default for x, y in zip(a, b, strict=True)]
-
-    return pd.DataFrame(
-        {
-            "jw_root": over(jaro_winkler, r1, r2, 0.0),
-            "sort_root": over(token_sort, r1, r2, 0.0),
-            "set_root": over(token_set, r1, r2, 0.0),
-            "partial_root": over(partial, r1, r2, 0.0),
-            "qratio_root": over(ratio, r1, r2, 0.0),
-            "jw_soundex": over(jaro_winkler, x1, x2, 0.0),
-            "jw_addr": over(jaro_winkler, a1, a2, 0.4),
-            "sort_addr": over(token_sort, a1, a2, 0.4),
-            "set_addr": over(token_set, a1, a2, 0.4),
-            "core_addr_sort": over(token_sort, c1, c2, 0.4),
-            "core_addr_set": over(token_set, c1, c2, 0.4),
-        }
-    )
-
-
-@F.pandas_udf(doubles(("name_ratio", "name_token_set", "name_token_sort", "name_partial", "name_jw", "addr_ratio", "addr_token_set", "addr_jw")))
-def kernels_b(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
-    def over(f, a, b):
-        g = _memo(f)
-        return [g(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)]
-
-    return pd.DataFrame(
-        {
-            "name_ratio": over(ratio, n1, n2),
-            "name_token_set": over(token_set, n1, n2),
-            "name_token_sort": over(token_sort, n1, n2),
-            "name_partial": over(partial, n1, n2),
-            "name_jw": over(jaro_winkler, n1, n2),
-            "addr_ratio": over(ratio, a1, a2),
-            "addr_token_set": over(token_set, a1, a2),
-            "addr_jw": over(jaro_winkler, a1, a2),
-        }
-    )
+    """f, remembering what it gave; one a worker process, so that the next batch and task find it."""
+    return _REMEMBERING.setdefault(f, lru_cache(REMEMBERED)(f))
+
+
+def kernels(names: tuple[str, ...] | list[str], table: dict = KERNELS) -> Column:
+    """A struct of the named similarities of a pair's texts a_* and b_*; only these are computed, and a pair of texts that
+    comes again isn't computed again."""
+    texts = list(dict.fromkeys(table[n][1] for n in names))
+    plan = [(table[n][0].__name__, texts.index(table[n][1]), table[n][2]) for n in names]
+
+    @F.pandas_udf(doubles(tuple(names)))
+    def run(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in columns:
+            pairs = [list(zip(cols[2 * i], cols[2 * i + 1], strict=True)) for i in range(len(texts))]
+            out = {}
+            for name, (f, i, default) in zip(names, plan, strict=True):
+                g = _memo(FUNCTIONS[f])
+                out[name] = [g(x, y) if x and y else default for x, y in pairs[i]]
+            yield pd.DataFrame(out, columns=list(names), dtype=float)
+
+    return run(*(F.col(f"{side}_{t}") for t in texts for side in "ab"))
+
+
+FUNCTIONS = {f.__name__: f for f in (jaro_winkler, token_sort, token_set, partial, ratio)}

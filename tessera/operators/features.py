@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.similarity import KERNELS, kernels, kernels_b
+from tessera.functions.similarity import KERNELS, KERNELS_B, kernels
 
 USED = ("name", "name_root", "acronym", "addr_std", "addr_core", "street_digits", "unit_code", "postal_code", "country_std", "soundex_first", "consonant_stem")
 #: The features in vector order.
@@ -89,8 +89,7 @@ def with_native(attached: DataFrame) -> DataFrame:
 
 def vector40(attached: DataFrame) -> DataFrame:
     """Pairs with all forty features, as floats, in VECTOR order."""
-    k = kernels(*(F.col(f"{s}_{c}") for c in ("name_root", "soundex_first", "addr_std", "addr_core") for s in "ab"))
-    df = with_native(attached).withColumn("__k", k)
+    df = with_native(attached).withColumn("__k", kernels(tuple(KERNELS)))
     df = df.withColumns({x: F.col(f"__k.{x}") for x in KERNELS})
     df = df.withColumns(
         {
@@ -114,7 +113,7 @@ def features_b(pairs: DataFrame, cleaned: DataFrame, anchor: str = "source1") ->
     left = cleaned.where(F.col("source") == anchor).select(F.col("id").alias("s1_id"), *[F.col(c).alias(f"a_{c}") for c in USED_B])
     right = cleaned.where(F.col("source") != anchor).select(F.col("id").alias("candidate_id"), F.col("source").alias("cand_source"), *[F.col(c).alias(f"b_{c}") for c in USED_B])
     df = pairs.join(left, "s1_id", "left").join(right, "candidate_id", "left").fillna("", [f"{x}_{c}" for x in "ab" for c in USED_B])
-    df = df.withColumn("__k", kernels_b("a_clean_name", "b_clean_name", "a_clean_full_address", "b_clean_full_address"))
+    df = df.withColumn("__k", kernels(tuple(KERNELS_B), KERNELS_B))
     la, lb = F.length("a_clean_name"), F.length("b_clean_name")
     word = lambda c: F.substring_index(F.col(c), " ", 1)
     feats = {f"feat_{x}": F.col(f"__k.{x}") for x in ("name_ratio", "name_token_set", "name_token_sort", "name_partial", "name_jw")}

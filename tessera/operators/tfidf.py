@@ -2,9 +2,13 @@
 
 Vectors are native: words padded by a blank on either side, grams of `low` to `high` characters inside a word (a word
 no longer than a gram size counts once, whole), sublinear term frequency, smoothed inverse document frequency, grams of
-fewer than `least` texts left out, unit length. The join compares every anchor with every satellite, block by block:
-a satellite block's vectors lie behind one another in arrays, an anchor is spread over the block's grams, and only
-the N best above the threshold leave a block. Blocks are bounded, so a task's memory is too.
+fewer than `least` texts left out, unit length.
+
+The join meets anchors and satellites in blocks of bounded size. Within a block, grams that more than a COMMON share of
+its satellites have are columns of a matrix, and what they add to all cosines is one product of matrices; the other
+grams' lists are short, and what they add is a sum over postings. Only the N best leave a block.
+
+Cosines are rounded to DIGITS decimals before they are compared, so that ties don't hang on the order of sums.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Records of a block on either side at most; satellite blocks at least, where there are records for them.
-ANCHORS, SATELLITES, SPREAD = 2048, 8192, 8
+ANCHORS, SATELLITES, SPREAD = 16_384, 16_384, 16
+#: Decimals of a cosine; share of a block's satellites that makes a gram common; cosines that a step holds.
+DIGITS, COMMON, CELLS = 9, 1 / 8, 1 << 21
 
 
 def grams(text: Column, low: int, high: int) -> Column:
@@ -37,53 +43,86 @@ def grams(text: Column, low: int, high: int) -> Column:
     return F.flatten(F.transform(found, of_word))
 
 
-def vectors(docs: DataFrame, low: int, high: int, least: int = 2) -> DataFrame:
-    """(id, gram, weight) of texts (id, text); every text is in the corpus."""
-    n = docs.count()
+def _raw(docs: DataFrame, n: int, low: int, high: int, least: int) -> DataFrame:
+    """(id, gram, w) before vectors are brought to unit length; n: texts of the corpus."""
     terms = docs.select("id", F.explode(grams(F.col("text"), low, high)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
     df = terms.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     idf = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
-    raw = terms.join(df, "gram").select("id", "gram", ((1 + F.log("tf")) * idf).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    return terms.join(df, "gram").select("id", "gram", ((1 + F.log("tf")) * idf).alias("w"))
+
+
+def vectors(docs: DataFrame, low: int, high: int, least: int = 2) -> DataFrame:
+    """(id, gram, weight) of texts (id, text); every text is in the corpus."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return _raw(docs, docs.count(), low, high, least).select("id", "gram", (F.col("w") / norm).alias("weight"))
+
+
+class Index:
+    """A block of satellites: a matrix of its common grams, and lists of satellites and weights for the others."""
+
+    def __init__(self, ids: np.ndarray, gram: np.ndarray, weight: np.ndarray, at: np.ndarray):
+        self.ids, n = ids, len(ids)
+        self.known, code, count = np.unique(gram, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(n), np.diff(at))
+        common = count > max(1, n * COMMON)
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((int(common.sum()), n))
+        dense = common[code]
+        self.matrix[self.column[code[dense]], owner[dense]] = weight[dense]
+        order = np.flatnonzero(~dense)[np.argsort(code[~dense], kind="stable")]
+        self.owner, self.weight = owner[order], weight[order]
+        self.first = np.searchsorted(code[order], np.arange(len(self.known) + 1))
+
+    def cosines(self, grams: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Cosines of some anchors (row by row behind one another) with every satellite."""
+        rows, n = len(at) - 1, len(self.ids)
+        anchor = np.repeat(np.arange(rows), np.diff(at))
+        code = np.minimum(np.searchsorted(self.known, grams), max(len(self.known) - 1, 0))
+        hit = self.known[code] == grams if len(self.known) else np.zeros(len(grams), bool)
+        anchor, code, weight = anchor[hit], code[hit], weight[hit]
+        column = self.column[code]
+        dense = np.zeros((rows, len(self.matrix)))
+        dense[anchor[column >= 0], column[column >= 0]] = weight[column >= 0]
+        out = dense @ self.matrix
+        anchor, code, weight = anchor[column < 0], code[column < 0], weight[column < 0]
+        k = self.first[code + 1] - self.first[code]
+        which = np.repeat(self.first[code] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        out += np.bincount(np.repeat(anchor * n, k) + self.owner[which], self.weight[which] * np.repeat(weight, k), rows * n).reshape(rows, n)
+        return out
+
+
+def _best(index: Index, grams: np.ndarray, weight: np.ndarray, at: np.ndarray, top: int, threshold: float):
+    """(anchor, satellite, cosine) of every anchor's `top` best at the threshold or more, and of those that tie with the last."""
+    n = len(index.ids)
+    step = max(1, CELLS // max(n, 1))
+    for lo in range(0, len(at) - 1 if n else 0, step):
+        own = at[lo : lo + step + 1]
+        cosine = index.cosines(grams[own[0] : own[-1]], weight[own[0] : own[-1]], own - own[0])
+        error = 10.0**-DIGITS
+        least = np.full(len(cosine), threshold - error)
+        if n > top:
+            least = np.maximum(least, np.partition(cosine, n - top, axis=1)[:, n - top] - error)
+        i, j = np.nonzero(cosine >= least[:, None])
+        found = np.round(cosine[i, j], DIGITS)
+        good = found >= threshold
+        yield lo + i[good], j[good], found[good]
 
 
 def _solve(t: pa.Table, top: int, threshold: float) -> pa.RecordBatch:
     t = t.combine_chunks()
     anchor = t.column("anchor").to_numpy()
-    ids = np.array(t.column("id").to_pylist(), object)
 
     def side(mask: np.ndarray):
         part = t.filter(pa.array(mask))
         g, w = part.column("grams").combine_chunks(), part.column("weights").combine_chunks()
         size = np.asarray(pc.list_value_length(g)).astype(np.int64)
-        return ids[mask], np.asarray(g.flatten()), np.asarray(w.flatten()), np.concatenate([[0], np.cumsum(size)])
+        return np.array(part.column("id").to_pylist(), object), np.asarray(g.flatten()), np.asarray(w.flatten()), np.concatenate([[0], np.cumsum(size)])
 
     a_id, a_gram, a_w, a_at = side(anchor)
-    b_id, b_gram, b_w, b_at = side(~anchor)
-    out: list[tuple] = []
-    if len(a_id) and len(b_id):
-        known, b_code = np.unique(b_gram, return_inverse=True)
-        order = np.argsort(b_code, kind="stable")  # an inverted index of the block: gram -> (satellite, weight)
-        first = np.searchsorted(b_code[order], np.arange(len(known) + 1))
-        owner, weight = np.repeat(np.arange(len(b_id)), np.diff(b_at))[order], b_w[order]
-        at = np.searchsorted(known, a_gram)
-        hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == a_gram)
-        for i in range(len(a_id)):
-            rows = np.arange(a_at[i], a_at[i + 1])[hit[a_at[i] : a_at[i + 1]]]
-            if not len(rows):
-                continue
-            g = at[rows]
-            count = first[g + 1] - first[g]
-            which = np.repeat(first[g] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            sim = np.bincount(owner[which], weight[which] * np.repeat(a_w[rows], count), len(b_id))
-            good = np.flatnonzero(sim >= threshold)
-            if len(good) > top:
-                kth = np.partition(sim[good], len(good) - top)[len(good) - top]
-                good = good[sim[good] >= kth]
-            out += [(a_id[i], b_id[j], sim[j]) for j in good]
-    cols = list(zip(*out, strict=True)) or [()] * 3
-    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.float64()), strict=True)], ["s1_id", "candidate_id", "sim"])
+    index = Index(*side(~anchor))
+    none = np.zeros(0, np.int64)
+    who, which, cosine = (np.concatenate(x) for x in zip((none, none, none.astype(float)), *_best(index, a_gram, a_w, a_at, top, threshold), strict=True))
+    return pa.record_batch([pa.array(a_id[who], pa.string()), pa.array(index.ids[which], pa.string()), pa.array(cosine)], ["s1_id", "candidate_id", "cosine"])
 
 
 def _by_block(top: int, threshold: float):
@@ -104,19 +143,22 @@ def _by_block(top: int, threshold: float):
 
 
 def top_similar(anchors: DataFrame, satellites: DataFrame, low: int, high: int, top: int, threshold: float, least: int = 2) -> DataFrame:
-    """(s1_id, candidate_id, tfidf_sim): of each anchor (id, text) the `top` satellites of cosine `threshold` or more.
-    Ties go to the smaller id."""
-    both = anchors.select("id", "text", F.lit(True).alias("anchor")).unionByName(satellites.select("id", "text", F.lit(False).alias("anchor")))
-    keyed = both.withColumn("id", F.concat(F.when(F.col("anchor"), F.lit("a")).otherwise(F.lit("s")), F.col("id")))
-    v = vectors(keyed.select("id", "text"), low, high, least)
-    packed = v.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), F.col("weight").alias("w")))).alias("v"))
-    rows = packed.select(F.substring("id", 1, 1).alias("side"), F.expr("substring(id, 2)").alias("id"), F.col("v.g").alias("grams"), F.col("v.w").alias("weights"))
-    n = both.groupBy("anchor").count().collect()
-    n = {r.anchor: r["count"] for r in n}
+    """(s1_id, candidate_id, cosine, tfidf_sim): of each anchor (id, text) the `top` satellites of cosine `threshold` or
+    more; tfidf_sim is the cosine as a float. Ties go to the smaller id."""
+    both = anchors.select(F.lit(True).alias("anchor"), "id", "text").unionByName(satellites.select(F.lit(False).alias("anchor"), "id", "text"))
+    n = {r.anchor: r["count"] for r in both.groupBy("anchor").count().collect()}
     ab = max(1, -(-n.get(True, 0) // ANCHORS))
     sb = max(1, -(-n.get(False, 0) // SATELLITES), min(SPREAD, n.get(False, 0) // 256))
-    a = rows.where("side = 'a'").select(F.pmod(F.xxhash64("id"), F.lit(ab)).cast("int").alias("ab"), F.explode(F.sequence(F.lit(0), F.lit(sb - 1))).alias("sb"), F.lit(True).alias("anchor"), "id", "grams", "weights")
-    s = rows.where("side = 's'").select(F.explode(F.sequence(F.lit(0), F.lit(ab - 1))).alias("ab"), F.pmod(F.xxhash64("id"), F.lit(sb)).cast("int").alias("sb"), F.lit(False).alias("anchor"), "id", "grams", "weights")
-    found = a.unionByName(s).repartition("ab", "sb").sortWithinPartitions("ab", "sb").mapInArrow(_by_block(top, threshold), "s1_id string, candidate_id string, sim double")
-    order = Window.partitionBy("s1_id").orderBy(F.desc("sim"), "candidate_id")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).select("s1_id", "candidate_id", F.col("sim").cast("float").alias("tfidf_sim"))
+    keyed = both.select(F.struct("anchor", "id").alias("id"), "text")
+    raw = _raw(keyed, sum(n.values()), low, high, least)
+    packed = raw.groupBy("id").agg(F.collect_list(F.xxhash64("gram")).alias("grams"), F.collect_list("w").alias("w"))
+    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
+    rows = packed.withColumn("norm", norm).select("id.anchor", "id.id", "grams", F.transform("w", lambda x: x / F.col("norm")).alias("weights"))
+    # an anchor meets every block of satellites, a satellite every block of anchors
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    of_anchor = F.transform(F.sequence(F.lit(0), F.lit(sb - 1)), lambda x: F.struct(own(ab).alias("ab"), x.alias("sb")))
+    of_satellite = F.transform(F.sequence(F.lit(0), F.lit(ab - 1)), lambda x: F.struct(x.alias("ab"), own(sb).alias("sb")))
+    sent = rows.select(F.explode(F.when(F.col("anchor"), of_anchor).otherwise(of_satellite)).alias("block"), "anchor", "id", "grams", "weights").select("block.ab", "block.sb", "anchor", "id", "grams", "weights")
+    found = sent.repartition("ab", "sb").sortWithinPartitions("ab", "sb").mapInArrow(_by_block(top, threshold), "s1_id string, candidate_id string, cosine double")
+    order = Window.partitionBy("s1_id").orderBy(F.desc("cosine"), "candidate_id")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).select("s1_id", "candidate_id", "cosine", F.col("cosine").cast("float").alias("tfidf_sim"))

@@ -12,6 +12,7 @@ from tessera.functions import text as T
 from tessera.operators import blocking, decide, entities, evaluate, features, models, scoring, tfidf, training
 from tessera.plans import linkage
 from tessera.plans import oracle as O
+from tessera.plans import oracle_pairs as P
 from tessera.sources import sinks, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,8 +83,8 @@ TEXT_B = {
 }
 for _name, _cols in TEXT_B.items():
     add(_name, lambda s, d, c=_cols: cleaned(s, d).select("id", *c), O.cleaned(*_cols))
-add("metaphone_key", lambda s, d: cleaned(s, d).select("id", "meta_key"))
-add("soundex_std", lambda s, d: cleaned(s, d).select("id", "soundex_key"))
+add("metaphone_key", lambda s, d: cleaned(s, d).select("id", "meta_key"), f"{O.CLEAN} SELECT id, {P.metaphone('clean_name')} AS meta_key FROM c")
+add("soundex_std", lambda s, d: cleaned(s, d).select("id", "soundex_key"), f"{O.CLEAN} SELECT id, {P.soundex('clean_name')} AS soundex_key FROM c")
 add(
     "strip_accents_docs",
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.strip_accents(F.col("text")).alias("plain")),
@@ -123,14 +124,16 @@ def _topn(combo: bool) -> Query:
         c = cleaned(spark, d)
         text = F.concat("clean_name", F.lit(" "), "clean_address") if combo else F.col("clean_name")
         a, b = (c.where(w).select("id", text.alias("text")) for w in ("source = 'source1'", "source <> 'source1'"))
-        return tfidf.top_similar(a, b, 3, 4, 20, 0.18) if combo else tfidf.top_similar(a, b, 2, 4, 25, 0.25)
+        found = tfidf.top_similar(a, b, 3, 4, 20, 0.18) if combo else tfidf.top_similar(a, b, 2, 4, 25, 0.25)
+        return found.select("s1_id", "candidate_id", "cosine")
 
     return run
 
 
-add("tfidf_topn_name", _topn(False))
-add("tfidf_topn_combo", _topn(True))
-add("candidates_b", lambda s, d: linkage.pairs_b(cleaned(s, d)))
+_round5 = lambda df, *keep: df.select(*keep, *[F.round(F.col(c).cast("double"), 5).alias(c) for c in df.columns if c not in keep])
+add("tfidf_topn_name", _topn(False), P.top_similar(P.NAME, 2, 4, 25, 0.25))
+add("tfidf_topn_combo", _topn(True), P.top_similar(P.BOTH, 3, 4, 20, 0.18))
+add("candidates_b", lambda s, d: _round5(linkage.pairs_b(cleaned(s, d)).withColumnRenamed("tfidf_sim", "sim"), "s1_id", "candidate_id"), P.CANDIDATES_B_QUERY)
 
 
 def _recall(spark: SparkSession, d: str) -> DataFrame:
@@ -169,19 +172,28 @@ for _name, _cols in {
 
 def _kernel(*names: str, round_to: int = 6) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        k = similarity.kernels(*(F.col(f"{s}_{c}") for c in ("name_root", "soundex_first", "addr_std", "addr_core") for s in "ab"))
-        return attached(spark, d).withColumn("k", k).select("s1_id", "source", "cand_id", *[F.round(f"k.{n}", round_to).alias(n) for n in names])
+        return attached(spark, d).withColumn("k", similarity.kernels(names)).select("s1_id", "source", "cand_id", *[F.round(f"k.{n}", round_to).alias(n) for n in names])
 
     return run
 
 
 add("feat_jaro_winkler", _kernel("jw_root", "jw_addr"), O.feature_query("jw_root", "jw_addr"))
-add("feat_indel_ratio", _kernel("qratio_root"))
-add("feat_token_sort", _kernel("sort_root", "sort_addr", "core_addr_sort"))
-add("feat_token_set", _kernel("set_root", "set_addr", "core_addr_set"))
-add("feat_partial", _kernel("partial_root"))
-add("feat_vector40", lambda s, d: features.vector40(attached(s, d)))
-add("feat_b23", lambda s, d: features.features_b(blocking.merge(blocking.equal_keys(cleaned(s, d), most=blocking.MOST)), cleaned(s, d)))
+for _name, _cols in {
+    "feat_indel_ratio": ("qratio_root",),
+    "feat_token_sort": ("sort_root", "sort_addr", "core_addr_sort"),
+    "feat_token_set": ("set_root", "set_addr", "core_addr_set"),
+    "feat_partial": ("partial_root",),
+}.items():
+    add(_name, _kernel(*_cols), P.kernels(*_cols))
+add("feat_vector40", lambda s, d: _round5(features.vector40(attached(s, d)), "s1_id", "source", "cand_id"), P.vector40(features.VECTOR))
+
+
+def pair_features_b(spark: SparkSession, d: str) -> DataFrame:
+    """Features of all second-engine candidates, those of the TF-IDF joins among them."""
+    return linkage.features_of(synthetic.entities(spark, d))
+
+
+add("feat_b23", lambda s, d: _round5(pair_features_b(s, d), "s1_id", "candidate_id", "source"), P.FEAT_B23)
 
 # Scores and decisions, on rule scores
 
@@ -268,16 +280,11 @@ add(
 )
 
 
-def pair_features_b(spark: SparkSession, d: str) -> DataFrame:
-    c = cleaned(spark, d)
-    return features.features_b(blocking.merge(blocking.equal_keys(c, most=blocking.MOST)), c)
-
-
 def _singleton_features(spark: SparkSession, d: str) -> DataFrame:
     return models.singleton_features(anchors(spark, d), pair_features_b(spark, d))
 
 
-add("singleton_features", _singleton_features)
+add("singleton_features", lambda s, d: _round5(_singleton_features(s, d), "s1_id", "agg_cand_count"), P.SINGLETON_FEATURES)
 add("singleton_scores", lambda s, d: models.singleton_scores(_singleton_features(s, d), truth_lists(s, d), folds=3, rounds=5))
 
 
