@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.features import VECTOR
@@ -69,27 +69,49 @@ def score_ensemble(models: list, pairs: DataFrame, columns: list[str] = VECTOR,
     return df.withColumn("score", blend([F.col(f"__s{i}") for i in range(len(models))], weights)).drop("features", *[f"__s{i}" for i in range(len(models))])
 
 
+def families(depth: int, rounds: int, seed: int, fold: int) -> list[GBTClassifier]:
+    """The two boosted families of a fold: sampled rows and features, and whole ones with other trees and steps. Both stop where
+    the rows marked `held` say that more trees don't help."""
+    common = {"labelCol": "label", "weightCol": "weight", "validationIndicatorCol": "held", "maxIter": rounds}
+    return [
+        GBTClassifier(**common, stepSize=0.05, maxDepth=depth, subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=5, seed=seed),
+        GBTClassifier(**common, stepSize=0.06, maxDepth=depth + 2, featureSubsetStrategy="all", minInstancesPerNode=1, seed=seed + fold),
+    ]
+
+
+def _unstopped(x: GBTClassifier) -> GBTClassifier:
+    x.clear(x.validationIndicatorCol)
+    return x
+
+
 def cross_fit(pairs: DataFrame, columns: list[str], folds: int = 5, group: str = "s1_id", depth: int = 4, rounds: int = 20, seed: int = 42) -> tuple[DataFrame, list]:
-    """Out-of-fold probabilities (prob) of labelled pairs, blended from boosted trees and a forest, and the models.
-    All pairs of an anchor share a fold; a fold whose training rows have one label gets that label."""
+    """Out-of-fold probabilities (prob) of labelled pairs, blended from two boosted families, and the models. All pairs of an
+    anchor share a fold, which the fold's models are stopped by. A fold whose training rows have one label gets that label
+    (0.5 without rows) and no model."""
     df = assemble(pairs.withColumn("fold", group_fold(F.col(group), folds)), columns).withColumn("weight", F.lit(1.0)).persist()
+    kinds = {(r.fold, r.label) for r in df.select("fold", "label").distinct().collect()}
     out, models = None, []
     for k in range(folds):
-        train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
-        kinds = [r.label for r in train.select("label").distinct().collect()]
-        if len(kinds) < 2:
-            part = test.withColumn("prob", F.lit(float(kinds[0]) if kinds else 0.0))
+        known = sorted({label for fold, label in kinds if fold != k})
+        test = df.where(F.col("fold") == k)
+        if len(known) < 2:
+            part = test.withColumn("prob", F.lit(float(known[0]) if known else 0.5))
         else:
-            a = GBTClassifier(labelCol="label", weightCol="weight", stepSize=0.05, maxDepth=depth, maxIter=rounds, subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=5, seed=seed).fit(train)
-            b = RandomForestClassifier(labelCol="label", weightCol="weight", maxDepth=depth + 2, numTrees=rounds, seed=seed + k).fit(train)
+            # without a row of its own to stop by, a fold's models are stopped by none
+            marked = df.withColumn("held", F.col("fold") == k)
+            some = any(fold == k for fold, _ in kinds)
+            a, b = (x.fit(marked) if some else _unstopped(x).fit(df) for x in families(depth, rounds, seed, k))
             models.append((a, b))
             part = _probability(b, _probability(a, test, "__a"), "__b").withColumn("prob", blend([F.col("__a"), F.col("__b")], SHARES)).drop("__a", "__b")
         out = part if out is None else out.unionByName(part)
+    df.unpersist()
     return out.drop("features", "weight"), models
 
 
 def predict(models: list, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """Probabilities of new pairs: each family's mean over the folds, then the blend."""
+    """Probabilities of new pairs: each family's mean over the folds that have models, then the blend."""
+    if not models:
+        raise ValueError("no fold had pairs of both labels, so there is no model to predict with")
     df = assemble(pairs, columns)
     for i, (a, b) in enumerate(models):
         df = _probability(b, _probability(a, df, f"__a{i}"), f"__b{i}")
@@ -122,22 +144,32 @@ def singleton_features(anchors: DataFrame, feats: DataFrame) -> DataFrame:
     return anchors.select("s1_id").join(best, "s1_id", "left").fillna(0.0)
 
 
-def singleton_scores(features: DataFrame, truth: DataFrame, folds: int = 5, rounds: int = 20) -> DataFrame:
-    """(s1_id, prob): out-of-fold probability that an anchor (features of singleton_features) has no link."""
+def fit_singletons(features: DataFrame, truth: DataFrame, folds: int = 5, rounds: int = 20) -> tuple[DataFrame, list]:
+    """(s1_id, label, prob): out-of-fold probability that an anchor (features of singleton_features) has no link; the models."""
     label = truth.select("s1_id", F.when(F.size("true_ids") == 0, 1.0).otherwise(0.0).alias("label"))
-    df = features.join(label, "s1_id")
-    return cross_fit(df, [*SINGLETON, "agg_cand_count"], folds, rounds=rounds)[0].select("s1_id", "prob")
+    scored, models = cross_fit(features.join(label, "s1_id"), [*SINGLETON, "agg_cand_count"], folds, rounds=rounds)
+    return scored.select("s1_id", "label", "prob"), models
 
 
-def save(models: list, path: str) -> None:
-    """Writes the fold models (pairs) or an ensemble (single models) below the path."""
+def singleton_scores(features: DataFrame, truth: DataFrame, folds: int = 5, rounds: int = 20) -> DataFrame:
+    return fit_singletons(features, truth, folds, rounds)[0].select("s1_id", "prob")
+
+
+def save(models: list, path: str, spark: SparkSession) -> None:
+    """Writes the fold models (pairs) or an ensemble (single models) below the path, and how many there are."""
     for i, m in enumerate(models):
         for j, x in enumerate(m if isinstance(m, tuple) else (m,)):
             x.write().overwrite().save(f"{path}/{i}-{j}")
+    spark.createDataFrame([(len(models),)], "models int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def saved(path: str, spark: SparkSession) -> int:
+    """How many models save() wrote below the path; folds without a model have none."""
+    return spark.read.schema("models int").json(f"{path}/manifest").first().models
 
 
-def load_folds(path: str, folds: int) -> list:
-    return [(GBTClassificationModel.load(f"{path}/{i}-0"), RandomForestClassificationModel.load(f"{path}/{i}-1")) for i in range(folds)]
+def load_folds(path: str, spark: SparkSession) -> list:
+    return [tuple(GBTClassificationModel.load(f"{path}/{i}-{j}") for j in (0, 1)) for i in range(saved(path, spark))]
 
 
 def load_ensemble(path: str, n: int = len(ENSEMBLE)) -> list:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bounds of the sample (the feature is a bounded sample; ids put it in order).
@@ -22,6 +22,9 @@ def hard_negatives(entities: DataFrame, links: DataFrame, satellites: str = "sou
 
     def joined(keys: list[str], most: int) -> DataFrame:
         left, right = a.select(F.col("id").alias("s1_id"), *keys), s.select(F.col("id").alias("cand_id"), *keys)
+        # in the order of anchors and then satellites, no satellite of a key beyond the first `most` can be among the first pairs
+        first = Window.partitionBy(*keys).orderBy("cand_id")
+        right = right.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).drop("__n")
         return left.join(right, keys).select("s1_id", "cand_id").orderBy("s1_id", "cand_id").limit(most)
 
     both = joined(["name_root", "country_std"], BY_NAME).unionByName(joined(["street_digits", "root_prefix_3", "country_std"], BY_DOOR)).distinct()
@@ -41,3 +44,7 @@ def group_fold(group: Column, k: int) -> Column:
     return F.pmod(F.xxhash64(group), F.lit(k)).cast("int")
 
 
+def with_sources(pairs: DataFrame, entities: DataFrame, anchor: str = "source1") -> DataFrame:
+    """Pairs (s1_id, cand_id, ...) with the source of their satellite; an id of several sources counts for the first."""
+    of = entities.where(F.col("source") != anchor).groupBy(F.col("id").alias("cand_id")).agg(F.min("source").alias("source"))
+    return pairs.join(of, "cand_id", "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking, decide, entities, features, scoring, tfidf
+from tessera.operators import blocking, decide, entities, features, scoring, tfidf, training
+from tessera.operators import models as M
 
 
 def rule_scored(raw: DataFrame) -> DataFrame:
@@ -22,15 +23,26 @@ def rule_matches(raw: DataFrame, cutoff: float = decide.CUTOFF, margin: float =
     return decide.select(scoring.joint_support(rule_scored(raw)), cutoff, margin, top)
 
 
-def model_matches(raw: DataFrame, models: list, cutoff: float = decide.CUTOFF, **more) -> DataFrame:
-    """Matches of the first engine by its ensemble."""
-    from tessera.operators import models as M
+def training_features(raw: DataFrame, links: DataFrame) -> DataFrame:
+    """Labelled pairs (links: s1_id, cand_id) of the first engine with their forty features."""
+    e = entities.enrich(raw)
+    pairs = training.with_sources(training.training_pairs(e, links), e)
+    f = features.vector40(features.attach(pairs.drop("label"), e))
+    return f.join(pairs.select("s1_id", "cand_id", "label"), ["s1_id", "cand_id"])
+
 
+def model_scores(raw: DataFrame, models: list) -> DataFrame:
+    """(s1_id, source, cand_id, score): first-engine candidates scored by its ensemble, with every correction."""
     e = entities.enrich(raw)
     f = features.vector40(features.attach(blocking.candidates(e), e))
     s = M.score_ensemble(models, f)
     s = s.withColumn("score", scoring.exact_root_floor(F.col("score"))).withColumn("score", scoring.adjacent_door_cap(F.col("score")))
-    return decide.select(scoring.joint_support(s), cutoff, **more)
+    return scoring.joint_support(s).select("s1_id", "source", "cand_id", "score")
+
+
+def model_matches(raw: DataFrame, models: list, cutoff: float = decide.CUTOFF, **more) -> DataFrame:
+    """Matches of the first engine by its ensemble."""
+    return decide.select(model_scores(raw, models), cutoff, **more)
 
 
 def pairs_b(cleaned: DataFrame, top: int = 35, least: float = 0.25) -> DataFrame:

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 def scan(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """A delimited file with a header, all columns text: tabs for .tsv, else commas; .parquet as it is. Fields beyond the
-    header are dropped, missing ones null. rows: only the first rows, by the file's order."""
+    header are dropped, missing ones null. rows: only the first rows, by the order of files, of places in them, and of lines."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
         df = spark.read.option("header", True).option("sep", "\t" if path.endswith(".tsv") else ",").option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').csv(path)
-    return df if rows is None else df.limit(rows)
+    if rows is None:
+        return df
+    names = df.columns
+    order = ["_metadata.file_path", "_metadata.file_block_start", "__row"]
+    return df.select("*", F.monotonically_increasing_id().alias("__row"), F.col("_metadata")).orderBy(*order).limit(rows).select(*[F.col(f"`{c}`") for c in names])
 
 
 def find(stem: str, folder: str = "", roots: tuple[str, ...] = ("data", "dataset")) -> str:

@@ -203,6 +203,9 @@ def test_command_line_and_stream(spark, tmp_path):
     cli.main(["--mode", "both", "--data", str(tmp_path), "--folds", "2", "--top-k", "5", "--min-sim", "0.1", "--model", str(tmp_path / "m"), "--output", str(tmp_path / "o")])
     got = spark.read.option("header", True).csv(str(tmp_path / "o"))
     assert got.columns == ["id", "matched_ids"] and got.count() == 3
+    assert models.saved(str(tmp_path / "m"), spark) <= 2 and models.saved(str(tmp_path / "m" / "singletons"), spark) <= 2
+    cli.main(["--mode", "submit", "--data", str(tmp_path), "--top-k", "5", "--min-sim", "0.1", "--model", str(tmp_path / "m"), "--output", str(tmp_path / "again")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "again")).count() == 3
 
     fields = "entity_id string, business_name string, business_address string, country string"
     spark.createDataFrame([("a", "Golden Coffee Inc", "12 Main St, 75002", "France"), ("b", "Other", "1 x", "India")], fields).write.parquet(str(tmp_path / "in"))
@@ -216,7 +219,60 @@ def test_models_are_saved(spark, tmp_path):
     rows = [(f"a{i % 20}", float(i % 2), float(i % 7), float(i % 2)) for i in range(200)]
     df = spark.createDataFrame(rows, "s1_id string, f1 double, f2 double, label double")
     fitted = models.fit_ensemble(df, ["f1", "f2"], models.ENSEMBLE[:2], depth=2, rounds=2)
-    models.save(fitted, str(tmp_path / "e"))
+    models.save(fitted, str(tmp_path / "e"), spark)
     again = models.load_ensemble(str(tmp_path / "e"), 2)
     a, b = (sorted(r.score for r in models.score_ensemble(m, df, ["f1", "f2"], (0.5, 0.5)).collect()) for m in (fitted, again))
     assert a == pytest.approx(b) and a[0] < 0.5 < a[-1]
+
+
+def test_ensemble_command(spark, tmp_path):
+    """Training, scoring and both result files, over the synthetic registries."""
+    from tessera import cli
+    from tessera.sources import synthetic
+
+    d = "/root/testdata/sf0.001"
+    everyone = synthetic.entities(spark, d).select("source", "entity_id", "business_name", "business_address", "country").collect()
+    for part in ("train", "test"):
+        (tmp_path / part).mkdir()
+        for i in (1, 2, 3):
+            lines = ["\t".join(r[1:]) for r in everyone if r.source == f"source{i}"]
+            (tmp_path / part / f"{part}_source{i}.tsv").write_text("\n".join(["entity_id\tbusiness_name\tbusiness_address\tcountry", *lines]) + "\n")
+    links = {}
+    for r in synthetic.truth(spark, d).collect():
+        links.setdefault(r.s1_id, []).append(r.cand_id)
+    (tmp_path / "train" / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"{a}\t{','.join(b)}\n" for a, b in links.items()))
+    cli.main(["--engine", "ensemble", "--mode", "both", "--data", str(tmp_path), "--model", str(tmp_path / "m"), "--output", str(tmp_path / "o"), "--depth", "3", "--rounds", "2", "--cutoff", "0.5"])
+    read = lambda x: {r[0]: r[1] or "" for r in spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/o/{x}").collect()}
+    matches, candidates = read("matching_results"), read("candidate_pairs")
+    assert models.saved(str(tmp_path / "m"), spark) == 5 and len(matches) == len(candidates) == 150
+    assert all(set(filter(None, m.split(","))) <= set(candidates[a].split(",")) for a, m in matches.items())
+    hits = sum(len(set(m.split(",")) & set(links.get(a, ()))) for a, m in matches.items())
+    assert hits >= 0.5 * sum(map(len, links.values()))
+
+
+def test_first_rows_are_those_of_the_file(spark, tmp_path):
+    path = tmp_path / "many.csv"
+    path.write_text("id,x\n" + "".join(f"{i},{'y' * 50}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert [int(r.id) for r in tables.scan(spark, str(path), 700).collect()] == list(range(700))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_fold_without_two_labels(spark):
+    rows = [("a", "x", 0.1, 1.0), ("b", "y", 0.2, 1.0), ("c", "z", 0.3, 1.0)]
+    scored, fitted = models.cross_fit(spark.createDataFrame(rows, "s1_id string, cand_id string, f double, label double"), ["f"], 3)
+    assert not fitted and {r.prob for r in scored.collect()} == {1.0}
+    with pytest.raises(ValueError):
+        models.predict(fitted, scored, ["f"])
+
+
+def test_kernels_give_what_is_asked(spark):
+    from tessera.functions import similarity
+
+    df = spark.createDataFrame([("blue bottle", "bottle blue", "x st", "", 1), ("", "a", "x st", "x st", 2), ("naïve", "naive", "é", "é", 3)], "a_name_root string, b_name_root string, a_addr_std string, b_addr_std string, n int")
+    got = {r.n: r.k for r in df.select("n", similarity.kernels(("sort_root", "jw_addr", "jw_root")).alias("k")).collect()}
+    assert list(got[1].asDict()) == ["sort_root", "jw_addr", "jw_root"]
+    assert (got[1].sort_root, got[1].jw_addr) == (1.0, 0.4) and (got[2].sort_root, got[2].jw_addr) == (0.0, 1.0)
+    assert got[3].jw_root == pytest.approx(similarity.jaro_winkler("naive", "naxve"))
