@@ -339,10 +339,13 @@ def one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(jaccard_components(docs, k, percent), "components")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    gone = scratch.keep(gone.withColumnRenamed("doc_id", "__gone"), "gone")
+    name = "gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = scratch.keep(gone.withColumnRenamed("doc_id", name), "gone")
     # texts needn't move while the ids that go are few enough to be sent to all executors
     few = gone.count() <= SENT_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id") == F.col(name), "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").head(1):
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept

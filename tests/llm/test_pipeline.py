@@ -65,3 +65,19 @@ def test_near_copies_of_five_words_and_four_fifths(spark):
     stay = lambda k, percent: [i for i, _, c in test_op6.brute(rows, k, percent) if i == c]
     got = sorted(r.doc_id for r in pipeline.jaccard_join(spark, docs, D).collect())
     assert got == stay(5, 80) and got != stay(3, 90)
+
+
+def test_further_columns_of_clashing_names(spark, tmp_path):
+    """Every stage but the last keeps them, whatever names its own columns have."""
+    names = ["gone", "gone_", "h1", "k1", "row", "label", "copy", "n", "part", "rank", "token", "site", "component_id", "score", "x"]
+    rows = [(i, f"menu line\nA text of document {i} with some words of its own, number {i}.", "en", f"s{i % 12}", 1, *range(len(names))) for i in range(24)]
+    rows += [(90, None, None, None, None, *[None] * len(names)), (91, "long words " * 30000, "en", "s1", 1, *range(len(names)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} long" for x in names)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a benchmark item of seven words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert {tuple(r)[5:] for r in out.collect()} == {r[5:] for r in rows}
+    assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {r[0] for r in rows}
