@@ -213,6 +213,10 @@ def test_command_line_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(fields).parquet(str(tmp_path / "in"))
     incremental.link_stream(stream, sats, str(tmp_path / "matches"), str(tmp_path / "cp"), cutoff=0.9).awaitTermination(120)
     assert [(r.s1_id, r.cand_id) for r in spark.read.parquet(str(tmp_path / "matches")).collect()] == [("a", "s")]
+    # a later anchor of the same keys doesn't get the satellite again
+    spark.createDataFrame([("c", "Golden Coffee Inc", "12 Main St, 75002", "France")], fields).write.mode("append").parquet(str(tmp_path / "in"))
+    incremental.link_stream(stream, sats, str(tmp_path / "matches"), str(tmp_path / "cp"), cutoff=0.9).awaitTermination(120)
+    assert [(r.s1_id, r.cand_id) for r in spark.read.parquet(str(tmp_path / "matches")).collect()] == [("a", "s")]
 
 
 def test_models_are_saved(spark, tmp_path):
