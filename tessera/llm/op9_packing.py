@@ -18,7 +18,6 @@ the sequence opened first.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from dataclasses import dataclass
@@ -51,7 +50,7 @@ def default_tokenizer() -> str:
 
 
 #: Chunks whose ids a Python worker remembers; rank rows that are sent to all executors at most (20 MB or so).
-REMEMBERED, SENT_RANKS = 250_000, 200_000
+REMEMBERED, SENT_RANKS = 100_000, 200_000
 #: White space that is not ASCII.
 WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD = r"[^\x00-\x{24f}]"
@@ -70,11 +69,11 @@ SPACE_SIGN = chr(BYTE_SIGNS[32])
 SIGN_KINDS = np.array([1 if chr(b).isalpha() and b < 128 else 2 if 32 < b < 127 and not chr(b).isalnum() else 0 for b in range(256)], np.uint8)
 
 
-def _by_bytes(spec: dict) -> bool:
+def _by_bytes(tokenizer) -> bool:
     """Whether the file holds plain byte-level BPE, whose pre-tokens end where Ids cuts."""
-    pre = spec["pre_tokenizer"] or {}
-    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-    return bool(plain and spec["model"]["type"] == "BPE" and not spec["normalizer"])
+    pre = tokenizer.pre_tokenizer
+    plain = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+    return bool(plain and type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None)
 
 
 class Ids:
@@ -93,7 +92,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.pretokens = self.tokenizer.model, self.tokenizer.pre_tokenizer
         whole = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = "|".join([f"[{WIDE}]", *whole]) if _by_bytes(json.loads(self.tokenizer.to_str())) else "(?s)."
+        self.whole = "|".join([f"[{WIDE}]", *whole]) if _by_bytes(self.tokenizer) else "(?s)."
         self.forget()
 
     def forget(self) -> None:
