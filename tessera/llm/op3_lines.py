@@ -7,8 +7,9 @@ occurrences of boilerplate lines go from every document. A line that one text al
 boilerplate however many sites show that text: the document is copied and not the line, which near-duplicate operators
 decide on.
 
-Which lines of a text go is a small table by the text's hashes. It is sent to all executors below SENT_LINES lines; beyond
-that, it is joined by a shuffle whose hot texts adaptive execution splits; rows without a text never move.
+Which lines of a text go is a table by the text's hashes. Spark sends it to all executors where it is below the session's
+threshold for broadcasts; else texts are joined with it by a shuffle whose hot texts adaptive execution splits. Rows
+without a text never move.
 
 Results: a row per document with its other columns, and its text without the boilerplate. Null and empty texts stay
 as they are; a null site counts as no site; repeated rows are treated alike; empty tables give none; every column of
@@ -24,8 +25,6 @@ from tessera.llm.common import Scratch, table
 
 #: Distinct sites that make a line boilerplate; log2 of a sketch's registers, whose error is 1.04 / sqrt(registers).
 SITES, REGISTERS = 10, 12
-#: Lines to take out of texts that are sent to all executors at most (16 MB or so).
-SENT_LINES = 300_000
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -68,9 +67,8 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, site: str = "source") -> Da
     # which lines go is a matter of the text alone, so that copies share one list
     gone = _lines(keyed).join(spread, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     gone = scratch.keep(gone, "gone")
-    few = gone.agg(F.coalesce(F.sum(F.size("gone") + 1), F.lit(0))).first()[0] <= SENT_LINES
     rows = docs.select(F.struct("*").alias("row"), text.alias("text"))
-    found = rows.where("text is not null").select("row", "text", *keys).join(F.broadcast(gone) if few else gone.hint("merge"), ["k1", "k2"], "left")
+    found = rows.where("text is not null").select("row", "text", *keys).join(gone, ["k1", "k2"], "left")
     kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.struct(*_hashes(_trimmed(x)))))
     found = found.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
     out = found.unionByName(rows.where("text is null"))

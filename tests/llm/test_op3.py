@@ -53,15 +53,18 @@ def test_whole_table(spark):
     assert got == brute(rows, op.SITES) and got != sorted([(d, t) for d, t, _ in rows], key=str)
 
 
-def test_lines_go_from_every_document_but_whole_copies_are_left(spark, monkeypatch):
+def test_lines_go_from_every_document_but_whole_copies_are_left(spark):
     menu, passage = "Menu | Home | Contact", "a passage of many words " * 20 + "that all sites show"
     rows = [(i, f"{menu}\n{passage}\nown {i}", f"s{i}") for i in range(12)] + [(50, menu, "s1"), (51, f"{menu}\nshort", "s2")]
     rows += [(60 + i, f"copied line one\ncopied line two\n{menu}", f"t{i}") for i in range(10)]
     rows += [(80 + i, None, f"t{i}") for i in range(10)]
     want = [(i, f"own {i}") for i in range(12)] + [(50, ""), (51, "short")] + [(60 + i, "copied line one\ncopied line two") for i in range(10)] + [(80 + i, None) for i in range(10)]
     assert run(spark, rows, 10) == sorted(want, key=str) == brute(rows, 10)
-    monkeypatch.setattr(op, "SENT_LINES", -1)
-    assert run(spark, rows, 10) == sorted(want, key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert run(spark, rows, 10) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_oracle(spark):
