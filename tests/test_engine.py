@@ -280,3 +280,16 @@ def test_kernels_give_what_is_asked(spark):
     assert list(got[1].asDict()) == ["sort_root", "jw_addr", "jw_root"]
     assert (got[1].sort_root, got[1].jw_addr) == (1.0, 0.4) and (got[2].sort_root, got[2].jw_addr) == (0.0, 1.0)
     assert got[3].jw_root == pytest.approx(similarity.jaro_winkler("naive", "naxve"))
+
+
+def test_negatives_and_links_are_whole_where_asked(spark, monkeypatch):
+    for bound in ("ANCHORS", "POSITIVES", "NEGATIVE_ANCHORS", "NEGATIVE_SATELLITES", "BY_NAME", "BY_DOOR"):
+        monkeypatch.setattr(training, bound, 3)
+    rows = [("source1", f"a{i}", "Same Name", "12 Main St", "France") for i in range(5)] + [("source2", f"b{i}", "Same Name", "12 Main St", "France") for i in range(7)]
+    e = entities.enrich(spark.createDataFrame(rows, "source string, entity_id string, business_name string, business_address string, country string"))
+    links = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(5)], "s1_id string, cand_id string")
+    every = {(f"a{i}", f"b{j}") for i in range(5) for j in range(7)}
+    known = {(f"a{i}", f"b{i}") for i in range(5)}
+    assert sorted(map(tuple, training.hard_negatives(e, links, bounded=False).collect())) == sorted(every - known)
+    assert sorted(map(tuple, training.training_pairs(e, links, bounded=False).collect())) == sorted([(*p, 1.0) for p in known] + [(*p, 0.0) for p in every - known])
+    assert training.training_pairs(e, links).where("label = 1").count() == 3 and training.hard_negatives(e, links).count() < 5
