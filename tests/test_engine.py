@@ -293,3 +293,52 @@ def test_negatives_and_links_are_whole_where_asked(spark, monkeypatch):
     assert sorted(map(tuple, training.hard_negatives(e, links, bounded=False).collect())) == sorted(every - known)
     assert sorted(map(tuple, training.training_pairs(e, links, bounded=False).collect())) == sorted([(*p, 1.0) for p in known] + [(*p, 0.0) for p in every - known])
     assert training.training_pairs(e, links).where("label = 1").count() == 3 and training.hard_negatives(e, links).count() < 5
+
+
+@pytest.mark.parametrize("words", [40, 4])
+def test_tfidf_search_past_chunks_against_a_product(words):
+    """Anchors that prune and anchors that don't, copies, ties and texts without grams, over several chunks."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(words)
+    grams, top, threshold = 400, 5, 0.2
+    idf = np.log(2000 / (1 + np.sort(rng.zipf(1.3, grams).clip(1, 1500)))) + 1
+    text = lambda: sorted(int(x) for x in grams - 1 - rng.zipf(1.4, rng.integers(0, words)).clip(1, grams) + 1)
+    a, b = [text() for _ in range(150)], [text() for _ in range(900)]
+    a[:20], times = b[100:120], rng.integers(1, 4, len(b))
+    codes = lambda rows: pa.array(rows, pa.list_(pa.int32()))
+
+    def dense(rows):
+        m = np.zeros((len(rows), grams))
+        v = tfidf.Vectors(codes(rows), idf)
+        m[v.row, v.code] = v.weight
+        return m
+
+    block, state = tfidf.Block(codes(a), idf, top, threshold), {}
+    parts = [(tfidf.Index(tfidf.Vectors(codes(b[i : i + 250]), idf), grams), times[i : i + 250], i) for i in range(0, len(b), 250)]
+    for index, t, _ in parts:
+        block.first(index, t, state)
+    block.settle(state["best"])
+    assert (block.least > threshold).sum() > 5
+    best = np.full((len(a), top), -1.0)
+    for index, t, start in parts:
+        block.second(index, t, start, best)
+    anchor, sat, cosine = block.pairs()
+    want = np.round(dense(a) @ dense(b).T, tfidf.DIGITS)
+    assert np.abs(want[anchor, sat] - cosine).max() < 2e-9
+    got = set(zip(anchor.tolist(), sat.tolist(), strict=True))
+    assert len(got) == len(anchor)
+    for i, row in enumerate(want):
+        all_ = np.sort(np.repeat(row, times))[::-1]
+        least = max(threshold, all_[top - 1] + 5e-9)
+        assert {(i, int(j)) for j in np.flatnonzero(row >= least)} <= got
+
+
+def test_tfidf_gives_every_copy_its_links(spark):
+    """Records of the same words are one class inside, and each has its own links outside."""
+    a = spark.createDataFrame([(f"a{i}", "golden coffee" if i % 2 else "Coffee  golden") for i in range(30)] + [("null", None)], "id string, text string")
+    b = spark.createDataFrame([(f"b{i:03}", "coffee golden") for i in range(300)] + [("c", "golden tea"), ("d", None)], "id string, text string")
+    found = tfidf.top_similar(a, b, 2, 4, 7, 0.25)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((f"a{i}", f"b{j:03}", 1.0, 1.0) for i in range(30) for j in range(7))
