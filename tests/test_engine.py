@@ -342,3 +342,13 @@ def test_tfidf_gives_every_copy_its_links(spark):
     found = tfidf.top_similar(a, b, 2, 4, 7, 0.25)
     assert "Generate" not in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == sorted((f"a{i}", f"b{j:03}", 1.0, 1.0) for i in range(30) for j in range(7))
+
+
+def test_folds_compute_their_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    one = F.udf(lambda x: (seen.add(1), x)[1], "double")
+    rows = [(f"a{i % 20}", float(i % 7), float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "s1_id string, f double, label double").withColumn("f", one("f"))
+    scored, fitted = models.cross_fit(df, ["f"], 2, depth=2, rounds=2)
+    assert scored.count() == 200 and len(scored.select("prob").collect()) == 200 and fitted
+    assert seen.value == 200
