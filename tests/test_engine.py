@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
+from tessera.functions import similarity
 from tessera.operators import blocking, decide, entities, evaluate, features, models, scoring, tfidf, training
 from tessera.plans import linkage
 from tessera.sources import sinks, tables
@@ -352,3 +353,49 @@ def test_folds_compute_their_pairs_once(spark):
     scored, fitted = models.cross_fit(df, ["f"], 2, depth=2, rounds=2)
     assert scored.count() == 200 and len(scored.select("prob").collect()) == 200 and fitted
     assert seen.value == 200
+
+
+def test_merge_deals_pairs_out_once(spark):
+    pairs = spark.createDataFrame([("a", f"b{i}", 0.5 + i / 100) for i in range(9)], "s1_id string, candidate_id string, tfidf_sim double")
+    plan = blocking.merge(pairs, pairs, most=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and len(blocking.merge(pairs, pairs, most=3).collect()) == 3
+
+
+def _alike(spark, n: int = 60):
+    rows = [("source1", f"a{i}", f"Golden Coffee {'abcdef'[i] * 4} Works", f"{i} Main Street", "Lyon" if i % 2 else "", f"20000000{i:02}") for i in range(6)]
+    rows += [("source2", f"b{i:02}", f"{'Golden Coffee' if i % 3 else 'Coffee Golden'} {'abcdefgh'[i % 8] * 4} {'Works' if i % 5 else ''}", f"{i % 9} Main Street", "Lyon", f"20000000{i:02}") for i in range(n)]
+    rows += [("source1", "lone", "Quiet Tea House", "9 Main Street", "Lyon", ""), ("source2", "c", "Quiet House Tea", "9 Main Street", "Lyon", "")]
+    return entities.clean(spark.createDataFrame(rows, "source string, entity_id string, business_name string, business_address string, city string, phone string"))
+
+
+@pytest.mark.parametrize("most", [3, 30])
+def test_floors_leave_the_merged_pairs_as_they_are(spark, monkeypatch, most):
+    """What is below the similarity of an equal key with enough satellites is left out before the merge, not by it."""
+    monkeypatch.setattr(blocking, "MOST", most)
+    c = _alike(spark).cache()
+    floors = blocking.floors(c, most=most)
+    by = {r.s1_id: round(r.floor, 2) for r in floors.collect()}
+    assert by == {f"a{i}": 0.7 for i in range(6)} if most == 30 else {"lone"} | {f"a{i}" for i in range(6)} >= set(by) >= {f"a{i}" for i in range(6)}
+    every = lambda x: sorted(map(tuple, x.collect()))
+    keys, fewer = blocking.equal_keys(c, most=most), blocking.equal_keys(c, most=most, least=floors)
+    a, b = (c.where(w).select("id", F.col("clean_name").alias("text")) for w in ("source = 'source1'", "source <> 'source1'"))
+    known = a.join(floors.withColumnRenamed("s1_id", "id"), "id", "left").withColumn("floor", F.col("floor").cast("double") - 1e-6)
+    whole, cut = (tfidf.top_similar(x, b, 2, 4, 25, 0.25).cache() for x in (a, known))
+    assert cut.count() < whole.count() and not cut.join(whole, ["s1_id", "candidate_id"], "left_anti").count()
+    assert every(blocking.merge(whole, keys, most=most)) == every(blocking.merge(cut, fewer, most=most))
+
+
+def test_satellites_are_looked_up_without_shuffling_pairs_by_them(spark, monkeypatch):
+    monkeypatch.setattr(features, "LOOKED_UP", 7)
+    c = _alike(spark, 20).cache()
+    pairs = spark.createDataFrame([(f"a{i}", f"b{j:02}", 0.5) for i in range(6) for j in range(20)] + [("a0", "unknown", 0.1)], "s1_id string, candidate_id string, tfidf_sim double")
+    few = features.features_b(pairs, c, only=("feat_name_jw", "feat_street_num_match"))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(candidate_id" not in plan and few.columns == ["s1_id", "candidate_id", "source", "feat_name_jw", "feat_street_num_match"]
+    whole = {(r.s1_id, r.candidate_id): r for r in features.features_b(pairs, c).collect()}
+    got = few.collect()
+    assert len(whole) == len(got) == 121 and len(whole["a0", "unknown"]) == 26
+    assert whole["a0", "unknown"].source is None and whole["a0", "unknown"].feat_name_jw == 0
+    assert all(tuple(r) == tuple(whole[r.s1_id, r.candidate_id][x] for x in few.columns) for r in got)
+    names = {r.id: r.clean_name for r in c.select("id", "clean_name").collect()}
+    assert all(r.feat_name_jw == pytest.approx(similarity.jaro_winkler(names[r.s1_id], names[r.candidate_id])) for r in got if r.candidate_id != "unknown")
