@@ -18,6 +18,7 @@ the sequence opened first.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass
@@ -49,8 +50,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Chunks whose ids a Python worker remembers; rank rows that are sent to all executors at most (20 MB or so).
-REMEMBERED, SENT_RANKS = 100_000, 200_000
+#: Rank rows that are sent to all executors at most (20 MB or so).
+SENT_RANKS = 200_000
+#: Bytes of a chunk that Merges takes at most; ids that it holds as a table; the rank of a pair without a merge.
+LONG, CELLS, NONE = 64, 1 << 18, np.iinfo(np.int32).max
 #: White space that is not ASCII.
 WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD = r"[^\x00-\x{24f}]"
@@ -64,26 +67,137 @@ def _byte_signs() -> dict[int, int]:
 
 
 BYTE_SIGNS = _byte_signs()
-SPACE_SIGN = chr(BYTE_SIGNS[32])
-#: Bytes that are ASCII letters (1) and ASCII signs (2): a pre-token always ends between the two in this order.
-SIGN_KINDS = np.array([1 if chr(b).isalpha() and b < 128 else 2 if 32 < b < 127 and not chr(b).isalnum() else 0 for b in range(256)], np.uint8)
+#: What _kinds() says of a byte alone.
+BYTE_KINDS = np.array([4 if b == 32 or 9 <= b <= 13 else 0 if b < 33 or b == 127 else 3 if chr(b).isdigit() and b < 128 else 1 if chr(b).isalpha() and b < 128 else 2 if b < 127 else 1 if 0xC3 <= b <= 0xC8 else 0 for b in range(256)], np.uint8)
 
 
 def _by_bytes(tokenizer) -> bool:
-    """Whether the file holds plain byte-level BPE, whose pre-tokens end where Ids cuts."""
-    pre = tokenizer.pre_tokenizer
+    """Whether the file holds plain byte-level BPE, whose pre-tokens end where Ids cuts and whose words Merges joins."""
+    pre, model = tokenizer.pre_tokenizer, tokenizer.model
     plain = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
-    return bool(plain and type(tokenizer.model).__name__ == "BPE" and tokenizer.normalizer is None)
+    if not plain or type(model).__name__ != "BPE" or tokenizer.normalizer is not None:
+        return False
+    odd = (model.dropout, model.continuing_subword_prefix, model.end_of_word_suffix, model.byte_fallback, model.ignore_merges)
+    return not any(odd) and all(tokenizer.token_to_id(chr(BYTE_SIGNS.get(b, b))) is not None for b in range(256))
+
+
+class Merges:
+    """The merges of a byte-level vocabulary, for many words at a time: in each round every word joins its pair of the
+    least rank, the leftmost of equal ones, as the model does."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        self.byte = np.array([vocab[chr(BYTE_SIGNS.get(b, b))] for b in range(256)], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        rank = {(vocab[a] << 32) | vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.joined = np.array([vocab[a + b] for a, b in pairs] or [0], np.int32)
+        self.bits = max(10, 2 + len(pairs).bit_length())
+        self.key, self.rank, self.probes = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32), 1
+        key, value = np.array(list(rank), np.int64), np.array(list(rank.values()), np.int32)
+        at = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.key[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.key[at[put]], self.rank[at[put]] = key[put], value[put]
+            rest = np.ones(len(key), bool)
+            rest[put] = False
+            key, value, at = key[rest], value[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NONE where there is no merge; ids below 0 stand for nothing."""
+        key = (left.astype(np.int64) << 32) | right
+        key[(left < 0) | (right < 0)] = -2
+        at = self._slot(key)
+        seen = self.key[at]
+        out = np.where(seen == key, self.rank[at], NONE)
+        rest = np.flatnonzero((seen != key) & (seen >= 0) & (key >= 0))
+        at = at[rest]
+        for _ in range(self.probes):
+            if not len(rest):
+                break
+            at = (at + 1) & ((1 << self.bits) - 1)
+            seen, want = self.key[at], key[rest]
+            hit = seen == want
+            out[rest[hit]] = self.rank[at[hit]]
+            more = ~hit & (seen >= 0)
+            rest, at = rest[more], at[more]
+        return out
+
+    def words(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words raw[first : first + size] one after another, and how many each has."""
+        count, order = np.zeros(len(first), np.int64), np.argsort(size, kind="stable")
+        parts, lo = [], 0
+        while lo < len(order):
+            # words of like sizes at a time, the narrow ones together
+            narrow = int(size[order[lo]])
+            width = narrow + (narrow > 3) + (narrow > 11) * narrow // 4
+            hi = min(int(np.searchsorted(size[order], width, side="right")), lo + max(1, CELLS // max(width, 1)))
+            own = order[lo:hi]
+            width = max(int(size[own[-1]]), 1)
+            place = np.arange(width)
+            inside = place < size[own][:, None]
+            ids = np.where(inside, self.byte[raw[np.minimum(first[own][:, None] + place, len(raw) - 1)]], -1)
+            self._join(ids)
+            count[own] = (ids >= 0).sum(axis=1)
+            parts.append(ids[ids >= 0])
+            lo = hi
+        # from the order of sizes back to the words' own
+        n = count[order]
+        start = np.zeros(len(first), np.int64)
+        start[order] = np.cumsum(n) - n
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(len(flat))
+        return flat[at].astype(np.uint32), count
+
+    def _join(self, ids: np.ndarray) -> None:
+        """Merge the rows of ids (filled up with -1) in place."""
+        if ids.shape[1] < 2:
+            return
+        row, now = np.arange(len(ids)), ids.copy()
+        rank = self.ranks(now[:, :-1].ravel(), now[:, 1:].ravel()).reshape(len(now), -1)
+        while True:
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(now)), at]
+            on = best < NONE
+            if not on.all():
+                ids[row[~on], : now.shape[1]] = now[~on]
+                ids[row[~on], now.shape[1] :] = -1
+                row, now, rank, at, best = row[on], now[on], rank[on], at[on], best[on]
+            if not len(row):
+                return
+            width, i = now.shape[1], np.arange(len(row))
+            # the pair becomes one id, what follows moves up
+            at_ = at[:, None]
+            now[i, at] = self.joined[best]
+            after = np.arange(width - 1)
+            now = np.where(after <= at_, now[:, :-1], now[:, 1:])
+            if width == 2:
+                ids[row, 0], ids[row, 1:] = now[:, 0], -1
+                return
+            rank = np.where(after[:-1] < at_, rank[:, :-1], rank[:, 1:])
+            left, right = at > 0, at < width - 2
+            where = np.concatenate([i[left] * (width - 2) + at[left] - 1, i[right] * (width - 2) + at[right]])
+            cell = np.concatenate([i[left] * (width - 1) + at[left] - 1, i[right] * (width - 1) + at[right]])
+            flat = now.ravel()
+            rank.ravel()[where] = self.ranks(flat[cell], flat[cell + 1])
 
 
 class Ids:
     """Token ids of whole texts, by way of chunks.
 
-    The vocabulary's pre-tokens never reach from a character that is no white space over the white space behind it,
-    nor from an ASCII letter over the sign behind it, so the ids of a text are those of its chunks between such places
-    one after another. Chunks repeat, so each is split by the tokenizer's own pre-tokenizer and encoded by its model once.
-    Texts with white space beyond ASCII or with an added token's text, and chunks with letters beyond Latin ones, go
-    through the whole tokenizer; so does every text if the file holds another kind of tokenizer.
+    The vocabulary's pre-tokens never reach over a white space's end but for one blank before what follows, nor from a
+    Latin letter over the sign behind it, so the ids of a text are those of its chunks between such places one after
+    another. Chunks repeat, so each is encoded once a step: those of letters, digits or signs alone are one pre-token
+    and go through Merges together, the others through the tokenizer's own pre-tokenizer and model. Texts with white space
+    beyond ASCII or with an added token's text, and chunks with letters beyond Latin ones, go through the whole tokenizer;
+    so does every text if the file holds another kind of tokenizer.
     """
 
     def __init__(self, path: str):
@@ -92,36 +206,43 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.pretokens = self.tokenizer.model, self.tokenizer.pre_tokenizer
         whole = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = "|".join([f"[{WIDE}]", *whole]) if _by_bytes(self.tokenizer) else "(?s)."
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        plain = _by_bytes(self.tokenizer)
+        self.whole = "|".join([f"[{WIDE}]", *whole]) if plain else "(?s)."
+        self.merges = Merges(path) if plain else None
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of new chunks."""
-        tokenize, flat, size = self.model.tokenize, [], []
-        odd = pc.match_substring_regex(pa.array(chunks, pa.string()), ODD).to_pylist()
-        for chunk, strange in zip(chunks, odd, strict=True):
-            core = chunk[1:] if chunk[0] == " " else chunk
+    def _one_by_one(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that may be several pre-tokens, or long."""
+        flat, size = [], []
+        odd = pc.match_substring_regex(chunks, ODD).to_pylist()
+        for chunk, strange in zip(chunks.to_pylist(), odd, strict=True):
             if strange:
                 ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            elif core.isalpha():
-                signs = chunk.replace(" ", SPACE_SIGN) if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_SIGNS)
-                ids = [t.id for t in tokenize(signs)]
             else:
-                ids = [t.id for signs, _ in self.pretokens.pre_tokenize_str(chunk) for t in tokenize(signs)]
+                ids = [t.id for signs, _ in self.pretokens.pre_tokenize_str(chunk) for t in self.model.tokenize(signs)]
             flat += ids
             size.append(len(ids))
-        self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks)), strict=True))
-        size = np.array(size, np.int64)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+        return np.array(flat, np.uint32), np.array(size, np.int64)
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, and where each one's begin and how many they are."""
+        offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+        raw = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+        first, size = offsets[:-1], np.diff(offsets)
+        kind = _kinds(raw)
+        # a blank in front belongs to what follows; white space alone is one pre-token, with others it is not
+        core = np.minimum(first + ((raw[first] == 32) & (size > 1)), len(raw) - 1)
+        change = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])
+        simple = (kind[core] > 0) & (change[offsets[1:] - 1] == change[core]) & (size <= LONG)
+        fast, slow = np.flatnonzero(simple), np.flatnonzero(~simple)
+        a, n = self.merges.words(raw, first[fast], size[fast])
+        b, m = self._one_by_one(chunks.filter(pa.array(~simple)))
+        count, start = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        count[fast], count[slow] = n, m
+        start[fast], start[slow] = np.cumsum(n) - n, len(a) + np.cumsum(m) - m
+        return np.concatenate([a, b]), start, count
 
     def texts(self, column: pa.Array) -> list[np.ndarray]:
         column = pa.concat_arrays([pc.fill_null(column, "")])
@@ -136,30 +257,46 @@ class Ids:
         column = column.filter(pa.array(~wide))
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         lo, hi = int(offsets[0]), int(offsets[-1])
-        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[lo:hi]
-        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        start = np.zeros(hi - lo + 1, bool)
-        kind = SIGN_KINDS[raw]
-        start[1 : hi - lo] = (space[1:] & ~space[:-1]) | ((kind[1:] == 2) & (kind[:-1] == 1))
-        start[offsets - lo] = True
-        cuts = np.flatnonzero(start)
+        if lo == hi:
+            return out
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[lo:hi]
+        cuts = np.flatnonzero(_starts(raw, offsets - lo))
         chunks = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer((cuts + lo).astype(np.int32)), column.buffers()[2]).dictionary_encode()
-        names = chunks.dictionary.to_pylist()
-        fresh = [x for x in names if x not in self.at]
-        if len(self.at) + len(fresh) > REMEMBERED:
-            self.forget()
-            fresh = names
-        self._learn(fresh)
-        which = np.array([self.at[x] for x in names], np.int64)[np.asarray(chunks.indices)]
-        count = self.size[which]
+        flat, first, size = self._chunks(chunks.dictionary)
+        which = np.asarray(chunks.indices)
+        count = size[which]
         ends = np.cumsum(count)
-        ids = self.flat[np.repeat(self.first[which] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = flat[np.repeat(first[which] - (ends - count), count) + np.arange(int(ends[-1]))]
         bounds = np.concatenate([[0], ends])[np.searchsorted(cuts, offsets - lo)]
         for i, a, b in zip(plain, bounds[:-1], bounds[1:], strict=True):
             out[i] = ids[a:b]
         return out
 
 
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """Of each byte: part of a Latin letter (1), an ASCII sign (2), an ASCII digit (3), white space (4), or something else (0)."""
+    kind = BYTE_KINDS[raw]
+    # the second byte of a letter from U+00C0 to U+023F, but for the two signs among them
+    lead = (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC8)
+    sign = (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    kind[1:][lead & ~sign] = 1
+    return kind
+
+
+def _starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin, and True for the end; texts begin at offsets."""
+    n, kind = len(raw), _kinds(raw)
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    space = kind == 4
+    start = first.copy()
+    # a run of white space begins, or its last character, which stands before something of the same text
+    last = space[:-1] & ~space[1:] & ~first[1:n]
+    start[1:n] |= (space[1:] & ~space[:-1]) | ((kind[1:] == 2) & (kind[:-1] == 1)) | (last & (raw[:-1] != 32))
+    start[: n - 1] |= last
+    return start
+
+
 _CODERS: dict[str, Ids] = {}
 
 

@@ -117,3 +117,39 @@ def test_both_joins_and_clashing_columns(spark, monkeypatch):
     out = op.pack(docs).collect()
     assert got(out) == want
     valid(out)
+
+
+class Counting:
+    """A model that counts the words it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.words = model, 0
+
+    def tokenize(self, word):
+        self.words += 1
+        return self.model.tokenize(word)
+
+
+def test_plain_words_are_merged_together():
+    """No call of the model for each new word, number or sign, whatever follows or precedes it, and the tokenizer's ids."""
+    import random
+
+    import pyarrow as pa
+
+    coder, r = op.Ids(op.default_tokenizer()), random.Random(2)
+    coder.model = counting = Counting(coder.model)
+    ends = ["", ",", "...", "\n", " 2024", "  ", "\n\n", " \n"]
+    texts = [" ".join("".join(r.choices("etaoinshréßĺ", k=r.randint(1, 20))) + r.choice(ends) for _ in range(r.randint(0, 60))) for _ in range(500)]
+    got = coder.texts(pa.array(texts))
+    assert [x.tolist() for x in got] == [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    # only runs of white space are left to it
+    assert counting.words <= 20
+
+
+def test_merges_of_bytes_equal_the_models():
+    coder, rng = op.Ids(op.default_tokenizer()), np.random.default_rng(3)
+    words = [bytes(rng.integers(0, 256, rng.integers(1, 60), dtype=np.uint8)) for _ in range(2000)] + [b"a" * n for n in range(1, 65)] + [b"thethethe", b"=" * 40]
+    size = np.array([len(w) for w in words])
+    flat, count = coder.merges.words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+    want = [[t.id for t in coder.model.tokenize("".join(chr(op.BYTE_SIGNS.get(b, b)) for b in w))] for w in words]
+    assert count.tolist() == [len(w) for w in want] and flat.tolist() == [x for w in want for x in w]
