@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 import pytest
@@ -385,6 +387,23 @@ def test_floors_leave_the_merged_pairs_as_they_are(spark, monkeypatch, most):
     assert every(blocking.merge(whole, keys, most=most)) == every(blocking.merge(cut, fewer, most=most))
 
 
+@pytest.mark.parametrize("dealt", [20, 1 << 22])
+def test_all_pairs_of_a_hot_key_are_dealt_out_by_lists(spark, monkeypatch, dealt):
+    """Whole, whatever the sizes of lists and blocks divide, with ids that are null or stand twice; a hot key in many tasks."""
+    for name, value in {"LISTED": 7, "RUN": 3, "SIDE": 2, "DEALT": dealt}.items():
+        monkeypatch.setattr(blocking, name, value, raising=False)
+    rows = [("source1", f"a{i}", "golden coffee") for i in range(23)] + [("source1", "a3", "golden coffee"), ("source1", None, "golden coffee"), ("source1", "lone", "quiet tea"), ("source1", "x", "silver tea"), ("source1", "y", "")]
+    rows += [(f"source{2 + i % 2}", f"b{i}", "golden coffee") for i in range(44)] + [("source2", "b5", "golden coffee"), ("source3", None, "golden coffee"), ("source2", "c", "silver tea"), ("source2", "d", "")]
+    records = spark.createDataFrame(rows, "source string, id string, name_first_tokens string")
+    got = [(r.rule, r.s1_id, r.candidate_id, round(r.tfidf_sim, 2), r.task) for r in blocking.equal_keys(records, blocking.EXACT[:1]).withColumn("task", F.spark_partition_id()).collect()]
+    assert Counter(x[:4] for x in got) == Counter(("first_tokens", a, b, 0.7) for s, a, k in rows for t, b, l in rows if s == "source1" != t and k == l != "")
+    assert len(got) == 25 * 46 + 1
+    tasks = Counter(x[4] for x in got if x[1] != "x")
+    assert dealt > 20 or len(tasks) > 5 and max(tasks.values()) < len(got) / 2
+    none = blocking.equal_keys(records.where("source = 'source1'"), blocking.EXACT[:1])
+    assert none.columns == ["rule", "s1_id", "candidate_id", "tfidf_sim"] and none.count() == 0
+
+
 def test_satellites_are_looked_up_without_shuffling_pairs_by_them(spark, monkeypatch):
     monkeypatch.setattr(features, "LOOKED_UP", 7)
     c = _alike(spark, 20).cache()
