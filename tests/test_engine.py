@@ -418,3 +418,25 @@ def test_satellites_are_looked_up_without_shuffling_pairs_by_them(spark, monkeyp
     assert all(tuple(r) == tuple(whole[r.s1_id, r.candidate_id][x] for x in few.columns) for r in got)
     names = {r.id: r.clean_name for r in c.select("id", "clean_name").collect()}
     assert all(r.feat_name_jw == pytest.approx(similarity.jaro_winkler(names[r.s1_id], names[r.candidate_id])) for r in got if r.candidate_id != "unknown")
+
+
+def test_the_singleton_model_trains_all_of_its_trees(spark, monkeypatch):
+    """Every fold has all rounds of its booster; the query leaves folds and rounds as they are."""
+    import inspect
+
+    from tessera.plans import catalogue
+
+    rows = [(f"a{i}", i % 40 / 40, (i * 7) % 11 / 11, float(i % 5)) for i in range(200)]
+    f = spark.createDataFrame(rows, "s1_id string, x double, y double, agg_cand_count double")
+    f = f.select("s1_id", *[F.col("x" if i % 2 else "y").alias(c) for i, c in enumerate(models.SINGLETON)], "agg_cand_count")
+    truth = spark.createDataFrame([(f"a{i}", [] if i % 40 < 20 else ["b"]) for i in range(200)], "s1_id string, true_ids array<string>")
+    scored, fitted = models.fit_singletons(f, truth, folds=2)
+    assert [[m.getNumTrees for m in own] for own in fitted] == [[150], [150]]
+    right = [(r.prob > 0.5) == (r.label == 1) for r in scored.collect()]
+    assert len(right) == 200 and sum(right) > 180
+    asked = []
+    monkeypatch.setattr(models, "_cross_fit", lambda pairs, columns, folds, group, boosters, *a, **k: (asked.append((folds, [b.getMaxIter() for b in boosters(0)])), (scored, fitted))[1])
+    monkeypatch.setattr(catalogue, "_singleton_features", lambda s, d: f)
+    monkeypatch.setattr(catalogue, "truth_lists", lambda s, d: truth)
+    catalogue.queries()["singleton_scores"](spark, "")
+    assert asked == [(5, [150])] and inspect.signature(models.fit_singletons).parameters["folds"].default == 5
