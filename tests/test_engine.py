@@ -440,3 +440,22 @@ def test_the_singleton_model_trains_all_of_its_trees(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "truth_lists", lambda s, d: truth)
     catalogue.queries()["singleton_scores"](spark, "")
     assert asked == [(5, [150])] and inspect.signature(models.fit_singletons).parameters["folds"].default == 5
+
+
+@pytest.mark.parametrize("few", [32, 1])
+def test_hard_negatives_shuffle_no_pairs_of_plain_records(spark, monkeypatch, few):
+    """Ids that are null or have several records, anchors with more links than are looked up one by one, links of null."""
+    monkeypatch.setattr(training, "FEW", few, raising=False)
+    names = ["golden coffee", "golden tea", "silver tea", ""]
+    cell = lambda source, i, k: (source, f"{source[6]}{i}" if i % 17 else None, names[(i + k) % 4], "" if i % 5 == 0 else str(i % 3), names[(i + k) % 4][:3], "fr" if i % 7 else None)
+    rows = [cell(x, i, 0) for x in ("source1", "source2") for i in range(40)] + [cell("source1", 3, 0), cell("source1", 4, 1), cell("source2", 5, 2), cell("source2", 34, 1)]
+    e = spark.createDataFrame(rows, "source string, id string, name_root string, street_digits string, root_prefix_3 string, country_std string")
+    known = [("13", f"2{i}") for i in range(3, 40, 4)] + [("18", "28"), ("19", "29"), ("19", "29"), (None, "25"), ("16", None), ("14", "25")]
+    links = spark.createDataFrame(known, "s1_id string, cand_id string")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == "source1" and b[0] == "source2" and a[5] and a[5] == b[5] and (a[2] == b[2] or a[3:5] == b[3:5])}
+    want -= {p for p in known if None not in p}
+    for some, odd in ((e, True), (e.where("id not in ('14', '25', '13') and id is not null"), False)):
+        ids = {r.id for r in some.collect()}
+        got = training.hard_negatives(some, links, bounded=False)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted((p for p in want if set(p) <= ids), key=str)
+        assert odd or "LeftAnti" not in got._jdf.queryExecution().toString()
