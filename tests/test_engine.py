@@ -459,3 +459,15 @@ def test_hard_negatives_shuffle_no_pairs_of_plain_records(spark, monkeypatch, fe
         got = training.hard_negatives(some, links, bounded=False)
         assert sorted(map(tuple, got.collect()), key=str) == sorted((p for p in want if set(p) <= ids), key=str)
         assert odd or "LeftAnti" not in got._jdf.queryExecution().toString()
+
+
+def test_training_pairs_shuffle_no_negatives(spark):
+    """The whole query's negatives meet by lists; neither the plan's distinct nor an anti join holds all pairs."""
+    rows = [(f"source{1 + i % 2}", f"{i % 2}-{i}", "Same Name" if i % 4 < 2 else f"Same Name {i}", "12 Main St", "France") for i in range(40)]
+    e = entities.enrich(spark.createDataFrame(rows, "source string, entity_id string, business_name string, business_address string, country string"))
+    links = spark.createDataFrame([("0-0", "1-1"), ("0-2", "1-3"), ("0-2", "1-3")], "s1_id string, cand_id string")
+    got = training.training_pairs(e, links, bounded=False)
+    assert "LeftAnti" not in got._jdf.queryExecution().toString()
+    pairs = {(f"0-{i}", f"1-{j}") for i in range(0, 40, 2) for j in range(1, 40, 2)}
+    true = {("0-0", "1-1"), ("0-2", "1-3")}
+    assert sorted(map(tuple, got.collect())) == sorted([(*p, 1.0) for p in true] + [(*p, 0.0) for p in pairs - true])
