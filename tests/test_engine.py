@@ -471,3 +471,20 @@ def test_training_pairs_shuffle_no_negatives(spark):
     pairs = {(f"0-{i}", f"1-{j}") for i in range(0, 40, 2) for j in range(1, 40, 2)}
     true = {("0-0", "1-1"), ("0-2", "1-3")}
     assert sorted(map(tuple, got.collect())) == sorted([(*p, 1.0) for p in true] + [(*p, 0.0) for p in pairs - true])
+
+
+def test_training_pairs_deal_records_out_before_keys_and_hold_one_run_of_pairs(spark, monkeypatch):
+    """Files of one task are dealt out by id ahead of the regular expressions, and only the last explode is in generated code."""
+    from tessera.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(training, "_every_negative", lambda a, s, links: seen.extend((a, s)) or a.select(F.col("id").alias("s1_id"), F.col("id").alias("cand_id")))
+    catalogue.queries()["training_pairs"](spark, "/root/testdata/sf0.001")
+    for side in seen:
+        plan = side.groupBy("id").agg(F.collect_set("name_root"))._jdf.queryExecution().executedPlan().toString()
+        keys, _, records = plan.partition("Exchange hashpartitioning")
+        assert "regexp_replace" in keys and records and "regexp_replace" not in records and "Exchange hashpartitioning" not in records
+    keyed = spark.createDataFrame([("r", "k", f"{i}") for i in range(5)], "rule string, key string, id string")
+    pairs = blocking.all_pairs(keyed.withColumnRenamed("id", "s1_id"), keyed.withColumnRenamed("id", "candidate_id"))
+    codes = [x.startswith("explode(") and "lambdafunction" not in x for x in pairs._jdf.queryExecution().executedPlan().toString().split("Generate ")[1:]]
+    assert sum(codes) == 1 and sorted((r.s1_id, r.candidate_id) for r in pairs.collect()) == [(f"{i}", f"{j}") for i in range(5) for j in range(5)]
