@@ -488,3 +488,28 @@ def test_training_pairs_deal_records_out_before_keys_and_hold_one_run_of_pairs(s
     pairs = blocking.all_pairs(keyed.withColumnRenamed("id", "s1_id"), keyed.withColumnRenamed("id", "candidate_id"))
     codes = [x.startswith("explode(") and "lambdafunction" not in x for x in pairs._jdf.queryExecution().executedPlan().toString().split("Generate ")[1:]]
     assert sum(codes) == 1 and sorted((r.s1_id, r.candidate_id) for r in pairs.collect()) == [(f"{i}", f"{j}") for i in range(5) for j in range(5)]
+
+
+def test_the_singleton_model_trains_rows_that_are_alike_once(spark, monkeypatch):
+    """300 anchors of 12 kinds: the trees and probabilities are those of all rows, a leaf's least of 20 rows among them."""
+    names = [*models.SINGLETON, "agg_cand_count"]
+    f = spark.createDataFrame([(f"a{i}", *[float((i % 12) * 37 * (j + 3) % 101) for j in range(len(names))]) for i in range(300)], "s1_id string, " + ", ".join(f"{c} double" for c in names))
+    truth = spark.createDataFrame([(f"a{i}", [] if i % 3 == 0 or i % 11 == 0 else ["x"]) for i in range(300)], "s1_id string, true_ids array<string>")
+    seen, fit = [], models.GBTClassifier.fit
+    monkeypatch.setattr(models.GBTClassifier, "fit", lambda self, df, *a: (seen.append(df.agg(F.count("*"), F.sum("weight")).first()), fit(self, df, *a))[1])
+    scored, fitted = models.fit_singletons(f, truth, folds=2, rounds=3)
+    assert all(n <= 24 for n, _ in seen) and sum(w for _, w in seen) == 300
+    monkeypatch.setattr(models, "_cross_fit", lambda *a, whole=models._cross_fit, **k: whole(*a, **(k | {"counted": False})))
+    plain, other = models.fit_singletons(f, truth, folds=2, rounds=3)
+    # columns may tie for a split, but not in what it parts
+    assert [[t.numNodes for t in a.trees] for (a,) in fitted] == [[t.numNodes for t in a.trees] for (a,) in other] and fitted[0][0].trees[0].numNodes > 1
+    a, b = ({r.s1_id: r.prob for r in x.collect()} for x in (scored, plain))
+    assert a == pytest.approx(b, abs=1e-9) and len(set(a.values())) > 2
+
+
+def test_the_singleton_features_clean_only_the_texts_they_compare(spark):
+    """Sound keys go through Python record by record; neither candidates nor these features look at them."""
+    c = entities.clean(spark.createDataFrame([("s1_1", "source1", "Acme", "1 Main St", "", "", "", "", "")], FIELDS))
+    kept = linkage._kept(c, tuple(models.SINGLETON.values())).columns
+    assert {"clean_name", "clean_full_address", "street_digits_str"} <= set(kept) and not {"meta_key", "soundex_key", "clean_state", "clean_zip"} & set(kept)
+    assert "meta_key" not in linkage._kept(c).columns and set(features.USED_B) <= set(linkage._kept(c, None).columns)
